@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
+from .packing import op8_best_fit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op8_best_fit": op8_best_fit,
 }
 
 ORACLES: dict[str, str] = {}
