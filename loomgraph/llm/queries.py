@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
+from .chat import op2_chat_format
 from .packing import op8_best_fit
+from .sharding import op10_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_chat_format": op2_chat_format,
     "op8_best_fit": op8_best_fit,
+    "op10_minimax_shards": op10_minimax_shards,
 }
 
 ORACLES: dict[str, str] = {}
