@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import knn
+from .ann import op3_multiprobe_neighbours
 from .bpe import op1_byte_bpe
 from .chat import op2_chat_format
+from .knn import op5_kd_tree_top_k
+from .langid import op6_rank_order_language
 from .packing import op8_best_fit
 from .sharding import op10_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_format": op2_chat_format,
+    "op3_multiprobe_neighbours": op3_multiprobe_neighbours,
+    "op5_kd_tree_top_k": op5_kd_tree_top_k,
+    "op6_rank_order_language": op6_rank_order_language,
     "op8_best_fit": op8_best_fit,
     "op10_minimax_shards": op10_minimax_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_kd_tree_top_k": knn.ORACLE,
+}

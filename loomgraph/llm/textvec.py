@@ -94,13 +94,13 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batches, text: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about limit bytes of text (or one longer document): slice, bytes, offsets."""
+def pieces(batches, text: str = "text", limit: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with about limit bytes of text (or one longer document) and at most so many rows: slice, bytes, offsets."""
     for batch in batches:
         data, offsets = buffer(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 
