@@ -12,6 +12,7 @@ from .bpe import op1_byte_bpe
 from .chat import op2_chat_format
 from .knn import op5_kd_tree_top_k
 from .langid import op6_rank_order_language
+from .neardup import op4_near_duplicates
 from .packing import op8_best_fit
 from .sharding import op10_minimax_shards
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_format": op2_chat_format,
     "op3_multiprobe_neighbours": op3_multiprobe_neighbours,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_kd_tree_top_k": op5_kd_tree_top_k,
     "op6_rank_order_language": op6_rank_order_language,
     "op8_best_fit": op8_best_fit,
