@@ -15,6 +15,7 @@ from .langid import op6_rank_order_language
 from .neardup import op4_near_duplicates
 from .packing import op8_best_fit
 from .sharding import op10_minimax_shards
+from .substrings import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_kd_tree_top_k": op5_kd_tree_top_k,
     "op6_rank_order_language": op6_rank_order_language,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit": op8_best_fit,
     "op10_minimax_shards": op10_minimax_shards,
 }
