@@ -14,6 +14,7 @@ from .knn import op5_kd_tree_top_k
 from .langid import op6_rank_order_language
 from .neardup import op4_near_duplicates
 from .packing import op8_best_fit
+from .scoring import op9_bloom_lm_scores
 from .sharding import op10_minimax_shards
 from .substrings import op7_substring_dedup
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rank_order_language": op6_rank_order_language,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_best_fit": op8_best_fit,
+    "op9_bloom_lm_scores": op9_bloom_lm_scores,
     "op10_minimax_shards": op10_minimax_shards,
 }
 
