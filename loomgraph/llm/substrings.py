@@ -168,8 +168,11 @@ def _words(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD])
 
 
-def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the kept words, one blank between) and the columns keep, one row a row of docs.
+def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), prefix: str = "", verbatim: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the kept words, one blank between) and the columns keep, their names after prefix, one row a row of docs.
+
+    With verbatim, a text that loses no word is returned as it is, white space
+    and null included.
 
     Words are the bytes between white space, unchanged.  A null or empty text
     has no words; texts of fewer words than the window lose none.  Repeated
@@ -292,14 +295,17 @@ def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
             out, edge = out.tobytes(), ends[np.searchsorted(stay, first)].tolist()
             kept += [out[i : max(i, j - 1)] for i, j in zip(edge, edge[1:])]
         lost = np.concatenate(([0], np.cumsum(gone)))[s.first]
-        columns = [left.column("doc_id"), pa.array(np.diff(s.first)), pa.array(np.diff(lost)), pa.array([x.decode() for x in kept], pa.string())]
+        texts = [x.decode() for x in kept]
+        if verbatim:
+            texts = [new if n else old for new, n, old in zip(texts, np.diff(lost).tolist(), left.column("text").to_pylist())]
+        columns = [left.column("doc_id"), pa.array(np.diff(s.first)), pa.array(np.diff(lost)), pa.array(texts, pa.string())]
         return pa.Table.from_arrays([*columns, *(left.column(c) for c in names)], names=["doc_id", "n_words", "n_removed", "kept", *names])
 
     asked = own.groupBy("block").applyInArrow(minimizers, sql(told)).groupBy("slice").applyInArrow(counted, sql(answer))
     shards = own.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(spans, sql(sent)).groupBy("slice").applyInArrow(matched, sql(back))
     kind = own.select(F.col("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"), *names).schema
     made = own.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(removed, kind)
-    return made.withColumnsRenamed({"doc_id": key} | {f"keep_{c}": c for c in keep})
+    return made.withColumnsRenamed({"doc_id": key} | {f"keep_{c}": f"{prefix}{c}" for c in keep})
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
