@@ -1,10 +1,766 @@
-"""All graph queries by name, with their SQL oracles."""
+"""All graph queries by name, with their SQL oracles.
+
+The queries run the operators on the projection of the driver's tables; the
+oracles say the same in SQL, written apart from them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs, fixed
+from ..operators import analysis, cluster, graph, layers, patterns, traverse, validate
+from ..operators import export as ex
+from ..sources import files
+from . import projection as p
+from .session import cut_lineage
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, needs: tuple[str, ...] = ()):
+    """Registers a function by its name, with the oracle's SQL after the clauses it needs."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = (p.sql(*needs) + "\n" if needs else "") + oracle
+        return f
+
+    return add
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return p.nodes(spark, d), p.edges(spark, d)
+
+
+def _quoted(names) -> str:
+    return "(" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + ")"
+
+
+# Merging and access
+
+@query("""
+SELECT id, label, type, file FROM (
+  SELECT 'supplier_' || l_suppkey AS id, s_name AS label, 'class' AS type, 'sales/' || lower(substr(o_orderpriority, 1, 1)) || '/' || o_orderstatus || '.py' AS file,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY o_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC, l_shipdate DESC) AS age
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)
+WHERE age = 1""")
+def merge_nodes_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Each line item mentions its supplier with its order's file; the last mention counts."""
+    file = F.concat(F.lit("sales/"), F.lower(F.substring("o_orderpriority", 1, 1)), F.lit("/"), "o_orderstatus", F.lit(".py"))
+    told = p.read(spark, d, "lineitem").join(p.read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # A mention's label is its supplier's, so the merge runs on keys and looks the few names up afterwards.
+    told = told.select(F.col("l_suppkey").cast("string").alias("id"), F.lit("").alias("label"), F.lit("class").alias("type"), file.alias("file"), F.struct("o_orderkey", *p.ORDER).alias("ord"))
+    names = p.read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("label"))
+    return graph.last_nodes(told).drop("label").join(names, "id").select(F.concat(F.lit("supplier_"), "id").alias("id"), "label", "type", "file")
+
+
+@query("SELECT source, target, 'calls' AS relation, confidence, weight FROM mentions WHERE age = 1", ("mentions",))
+def merge_edges_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    return graph.last_edges(p.mentions(spark, d))
+
+
+@query("SELECT CAST((SELECT count(*) FROM nodes) AS BIGINT) AS node_count, CAST((SELECT count(*) FROM edges) AS BIGINT) AS edge_count", ("nodes", "edges"))
+def graph_counts(spark: SparkSession, d: str) -> DataFrame:
+    return graph.counts(*_graph(spark, d))
+
+
+@query("SELECT * FROM edges WHERE (source = 'customer_1' AND target = 'nation_8') OR (source = 'supplier_1' AND target LIKE 'nation_%') OR (source = 'region_1' AND target = 'nation_1')", ("edges",))
+def edge_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return graph.lookup(p.edges(spark, d), [("customer_1", "nation_8"), ("region_1", "nation_1"), *[("supplier_1", f"nation_{k}") for k in range(25)]])
+
+
+@query("SELECT id, other FROM und", ("und",))
+def neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbours(p.edges(spark, d))
+
+
+@query("SELECT id, degree FROM degree", ("degree",))
+def degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degree(p.edges(spark, d))
+
+
+RAW = "(SELECT id, CAST(count(*) AS BIGINT) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id)"
+
+
+@query(f"SELECT id, degree FROM {RAW}", ("edges",))
+def raw_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.raw_degree(p.edges(spark, d))
+
+
+# Scalar functions
+
+MAKE_ID = "lower(trim(regexp_replace({}, '[^a-zA-Z0-9]+', '_', 'g'), '_'))"
+
+
+@query(f"SELECT p_partkey, {MAKE_ID.format("p_brand || '_' || p_name || '_' || p_type")} AS node_id FROM part")
+def make_id(spark: SparkSession, d: str) -> DataFrame:
+    return p.read(spark, d, "part").select("p_partkey", exprs.make_id(F.col("p_brand"), F.col("p_name"), F.col("p_type")).alias("node_id"))
+
+
+@query(f"SELECT doc_id, {MAKE_ID.format('path || left(text, 200)')} AS node_id FROM paths", ("paths",))
+def make_id_multilingual(spark: SparkSession, d: str) -> DataFrame:
+    return p.paths(spark, d).select("doc_id", exprs.make_id(F.concat("path", F.substring("text", 1, 200))).alias("node_id"))
+
+
+ENDINGS = (*fixed.CATEGORY_CODE, *fixed.CATEGORY_PAPER, *fixed.CATEGORY_IMAGE, ".dart", ".PY", ".txt", "", ".tar.gz")
+MADE_PATHS = "(SELECT doc_id, source || '/' || lang || '/f' || doc_id || ([" + ", ".join(f"'{e}'" for e in ENDINGS) + f"])[CAST(doc_id % {len(ENDINGS)} + 1 AS INTEGER)] AS path FROM documents)"
+
+
+def _made_paths(spark: SparkSession, d: str) -> DataFrame:
+    end = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS) + 1).cast("int"))
+    return p.read(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/f"), F.col("doc_id").cast("string"), end).alias("path"))
+
+
+EXT = "lower(regexp_extract(path, '(\\.[^./]*)$', 1))"
+
+
+def _category(path: str) -> str:
+    e = EXT.replace("path", path)
+    return f"CASE WHEN {e} IN {_quoted(fixed.CATEGORY_CODE)} THEN 'code' WHEN {e} IN {_quoted(fixed.CATEGORY_PAPER)} THEN 'paper' WHEN {e} IN {_quoted(fixed.CATEGORY_IMAGE)} THEN 'image' ELSE 'doc' END"
+
+
+@query(f"SELECT doc_id, path, {_category('path')} AS category FROM {MADE_PATHS}")
+def file_category(spark: SparkSession, d: str) -> DataFrame:
+    return _made_paths(spark, d).select("doc_id", "path", exprs.file_category(F.col("path")).alias("category"))
+
+
+@query("SELECT DISTINCT file, split_part(file, '/', 1) AS dir FROM nodes", ("nodes",))
+def top_level_dir(spark: SparkSession, d: str) -> DataFrame:
+    return p.nodes(spark, d).select("file").distinct().select("file", exprs.top_level_dir(F.col("file")).alias("dir"))
+
+
+def _second(path: str) -> str:
+    parts = f"string_split({path}, '/')"
+    own = f"list_filter({parts}[1:len({parts}) - 1], lambda x: x NOT IN {_quoted(fixed.TOP_DIRS)})"
+    return f"CASE WHEN {path} = '' THEN '' WHEN len({own}) > 0 THEN {own}[1] WHEN len({parts}) >= 2 THEN {parts}[len({parts}) - 1] ELSE '' END"
+
+
+@query(f"SELECT path, {_second('path')} AS dir FROM (SELECT DISTINCT file AS path FROM nodes UNION SELECT path FROM paths UNION SELECT url FROM pages UNION SELECT 'src/' || n_name FROM nation UNION SELECT n_name || '.py' FROM nation)", ("nodes", "paths"))
+def second_level_dir(spark: SparkSession, d: str) -> DataFrame:
+    nation = p.read(spark, d, "nation")
+    every = [p.nodes(spark, d).select("file"), p.paths(spark, d).select("path"), p.read(spark, d, "pages").select("url"), nation.select(F.concat(F.lit("src/"), "n_name")), nation.select(F.concat("n_name", F.lit(".py")))]
+    made = every[0]
+    for e in every[1:]:
+        made = made.union(e)
+    return made.toDF("path").distinct().select("path", exprs.second_level_dir(F.col("path")).alias("dir"))
+
+
+NON_SOURCE_DIRS = ("lib/", "test/", "x/benchmark/", "example/", "latest/", "Runner/", "a_generated/")
+NON_SOURCE = "regexp_matches(lower({0}), '(^|/)(test|benchmark|example)/|(\\.swift|\\.m|\\.kt|\\.java|\\.cpp|\\.h|\\.cs)$|generated|runner/')"
+
+
+@query("SELECT doc_id, path, " + NON_SOURCE.format("path") + " AS non_source FROM (SELECT doc_id, ([" + ", ".join(f"'{x}'" for x in NON_SOURCE_DIRS) + f"])[CAST(doc_id % {len(NON_SOURCE_DIRS)} + 1 AS INTEGER)] || path AS path FROM {MADE_PATHS})")
+def non_source_file(spark: SparkSession, d: str) -> DataFrame:
+    start = F.element_at(F.array(*map(F.lit, NON_SOURCE_DIRS)), (F.col("doc_id") % len(NON_SOURCE_DIRS) + 1).cast("int"))
+    return _made_paths(spark, d).select("doc_id", F.concat(start, "path").alias("path")).select("doc_id", "path", exprs.is_non_source(F.col("path")).alias("non_source"))
+
+
+SECRET_NAMES = (".env", "a.pem", "my_secret.txt", "tokenizer.py", "id_rsa", "id_rsa.pub", "main.py", "x.key", "service-account.json", "service.account", "passwd", "Secret.py")
+SECRET_PATHS = "(SELECT doc_id, source || '/' || ([" + ", ".join(f"'{x}'" for x in SECRET_NAMES) + f"])[CAST(doc_id % {len(SECRET_NAMES)} + 1 AS INTEGER)] AS path FROM documents)"
+
+
+@query("SELECT doc_id, path FROM " + SECRET_PATHS + " WHERE " + " OR ".join(f"regexp_extract(path, '[^/]*$') GLOB '{g}'" for g in fixed.SENSITIVE_NAMES))
+def sensitive_files(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, SECRET_NAMES)), (F.col("doc_id") % len(SECRET_NAMES) + 1).cast("int"))
+    made = p.read(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), name).alias("path"))
+    return made.where(exprs.is_sensitive(F.col("path")))
+
+
+PAPER = " + ".join([f"CAST(contains(lower(head), '{s}') AS INTEGER)" for s in fixed.PAPER_SIGNALS] + ["CAST(contains(head, '[1]') OR contains(head, '[23]') AS INTEGER)"])
+SIGNED = "(SELECT doc_id, string_split(path, '/')[2] || ' ' || CASE WHEN doc_id % 3 = 0 THEN 'Abstract [1] arXiv: ' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN 'Journal equation ' ELSE '' END || text AS text, path FROM paths)"
+
+
+def _signed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which some read like papers."""
+    source = F.split("path", "/")[1]
+    text = F.concat(source, F.lit(" "), F.when(F.col("doc_id") % 3 == 0, "Abstract [1] arXiv: ").otherwise(""), F.when(F.col("doc_id") % 5 == 0, "Journal equation ").otherwise(""), "text")
+    return p.paths(spark, d).select("doc_id", text.alias("text"), "path")
+
+
+@query(f"SELECT doc_id, CAST({PAPER} AS INTEGER) AS hits, ({PAPER}) >= 3 AS paper FROM (SELECT doc_id, CASE WHEN strlen(text) = length(text) THEN left(text, 3000) ELSE text END AS head, text FROM {SIGNED})", ("paths",))
+def paper_score(spark: SparkSession, d: str) -> DataFrame:
+    hits = exprs.paper_score(F.col("text"))
+    return _signed(spark, d).select("doc_id", hits.alias("hits"), (hits >= fixed.PAPER_HITS).alias("paper"))
+
+
+def _kinds(path: str, paper: str) -> str:
+    e = EXT.replace("path", path)
+    return f"""CASE WHEN regexp_matches({path}, '(\\.imageset|\\.xcassets|\\.appiconset|\\.colorset|\\.launchimage)([/\\\\]|$)') THEN NULL
+      WHEN {e} IN {_quoted(fixed.CODE_FILES)} THEN 'code' WHEN {e} IN {_quoted(fixed.PAPER_FILES)} THEN 'paper' WHEN {e} IN {_quoted(fixed.IMAGE_FILES)} THEN 'image'
+      WHEN {e} IN {_quoted(fixed.DOCUMENT_FILES)} THEN CASE WHEN {paper} THEN 'paper' ELSE 'document' END WHEN {e} IN {_quoted(fixed.MEDIA_FILES)} THEN 'video' END"""
+
+
+ASSET = "CASE WHEN doc_id % 11 = 0 THEN 'A.xcassets/' ELSE '' END || path"
+
+
+@query(f"SELECT doc_id, path, {_kinds('path', 'doc_id % 7 = 0')} AS file_type FROM (SELECT doc_id, {ASSET} AS path FROM {MADE_PATHS})")
+def classify_files(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.when(F.col("doc_id") % 11 == 0, "A.xcassets/").otherwise(""), "path")
+    made = _made_paths(spark, d).select("doc_id", path.alias("path"))
+    return made.select("doc_id", "path", exprs.classify(F.col("path"), F.col("doc_id") % 7 == 0).alias("file_type"))
+
+
+IGNORES = ("src1", "fr/", "f1?.py", "src2/en/*.py", "*.md")
+IGNORE_SQL = " OR ".join(f"base GLOB '{i.rstrip('/')}' OR (path GLOB '{i.rstrip('/')}' AND len(string_split(path, '/')) = {1 + i.rstrip('/').count('/')}) OR contains(path, '/{i.rstrip('/')}/') OR starts_with(path, '{i.rstrip('/')}/')" for i in IGNORES)
+
+
+@query(f"SELECT doc_id, path FROM (SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS base FROM {MADE_PATHS}) WHERE {IGNORE_SQL}")
+def ignored_files(spark: SparkSession, d: str) -> DataFrame:
+    return _made_paths(spark, d).where(exprs.is_ignored(F.col("path"), list(IGNORES)))
+
+
+WORDS = "len(list_filter(regexp_split_to_array(text, '[\\s\\p{Z}\\x0b\\x85\\x1c-\\x1f]+'), lambda w: w <> ''))"
+
+
+@query(f"SELECT doc_id, CAST({WORDS} AS INTEGER) AS words FROM paths", ("paths",))
+def word_count(spark: SparkSession, d: str) -> DataFrame:
+    return p.paths(spark, d).select("doc_id", exprs.word_count(F.col("text")).alias("words"))
+
+
+@query(f"""SELECT CAST(n AS BIGINT) AS total_files, CAST(w AS BIGINT) AS total_words, w >= 50000 AS needs_graph,
+  CASE WHEN w < 50000 THEN 'small' WHEN w >= 500000 OR n >= 200 THEN 'large' ELSE '' END AS verdict FROM (SELECT count(*) AS n, sum({WORDS}) AS w FROM paths)""", ("paths",))
+def corpus_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return files.verdict(p.paths(spark, d).select("path", exprs.word_count(F.col("text")).cast("long").alias("words"), F.lit("document").alias("file_type")))
+
+
+FRONT = "CASE WHEN doc_id % 2 = 0 THEN '---\ntitle: x' || doc_id || '\n---\n' ELSE '' END || text"
+
+
+@query(f"SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN '\n' || text ELSE text END) AS hash FROM (SELECT doc_id, path, text, {FRONT} AS whole FROM paths)".replace("\n", "' || chr(10) || '").replace("'' || chr(10)", "chr(10)"), ("paths",))
+def frontmatter_hash(spark: SparkSession, d: str) -> DataFrame:
+    whole = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\ntitle: x"), F.col("doc_id").cast("string"), F.lit("\n---\n"))).otherwise(""), "text")
+    return p.paths(spark, d).select("doc_id", exprs.content_hash(F.col("path"), whole).alias("hash"))
+
+
+@query("SELECT CAST(count(*) FILTER (h IN (SELECT sha256(text) FROM paths WHERE doc_id % 3 = 0)) AS BIGINT) AS hits, CAST(count(*) FILTER (h NOT IN (SELECT sha256(text) FROM paths WHERE doc_id % 3 = 0)) AS BIGINT) AS misses FROM (SELECT sha256(text) AS h FROM paths)", ("paths",))
+def cache_hits_misses(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the documents has been extracted; the others hit if their content has been."""
+    every = p.paths(spark, d).select("doc_id", exprs.content_hash(F.col("path"), F.col("text")).alias("hash"))
+    return files.probe_counts(every, every.where("doc_id % 3 = 0").select("hash"))
+
+
+@query("SELECT id, lower(regexp_replace(regexp_replace(label, '^\\.', ''), '\\(\\)$', '')) AS name FROM nodes", ("nodes",))
+def normalize_method(spark: SparkSession, d: str) -> DataFrame:
+    return p.nodes(spark, d).select("id", F.lower(exprs.method_name(F.col("label"))).alias("name"))
+
+
+SCORE = """CASE WHEN type = 'module' THEN -1 ELSE coalesce(degree, 0) + CASE type WHEN 'class' THEN 100 WHEN 'mixin' THEN 100 WHEN 'extension' THEN 100 WHEN 'enum' THEN 90 WHEN 'function' THEN 50
+  WHEN 'method' THEN 30 WHEN 'variable' THEN 10 WHEN 'file' THEN -50 ELSE 0 END - CASE WHEN label = 'main()' THEN 200 ELSE 0 END - CASE WHEN regexp_matches(label, '^_(wrap|make|build|ctx|doc)') THEN 80 ELSE 0 END - CASE WHEN starts_with(label, '_') THEN 20 ELSE 0 END END"""
+
+
+@query(f"SELECT nodes.id, CAST({SCORE} AS BIGINT) AS score FROM nodes LEFT JOIN degree ON nodes.id = degree.id", ("nodes", "degree"))
+def label_score(spark: SparkSession, d: str) -> DataFrame:
+    n, e = _graph(spark, d)
+    return n.join(graph.degree(e), "id", "left").select("id", exprs.label_score(F.col("label"), F.col("type"), F.coalesce("degree", F.lit(0))).alias("score"))
+
+
+# Extraction as joins
+
+@query("""
+SELECT * FROM (
+  SELECT n.id AS scope_id, CASE WHEN n.id LIKE 'enumval%' THEN 'enum_value' WHEN n.id LIKE 'part%' AND h.m THEN 'method' WHEN n.id LIKE 'nation%' THEN CASE WHEN h.i THEN 'class' ELSE CASE WHEN regexp_matches(n.label, '^[A-Z]') THEN 'class' ELSE '' END END
+    WHEN n.id LIKE 'supplier%' THEN CASE WHEN h.p THEN 'module' ELSE 'class' END
+    WHEN starts_with(n.label, '.') AND ends_with(n.label, '()') THEN 'method' WHEN ends_with(n.label, '()') THEN 'function' WHEN regexp_matches(n.label, '^[A-Z]') THEN 'class' ELSE '' END AS type
+  FROM nodes n LEFT JOIN (SELECT target, bool_or(relation = 'method') AS m, bool_or(relation = 'inherits') AS i, bool_or(relation = 'imports') AS p FROM edges GROUP BY target) h ON h.target = n.id)""", ("nodes", "edges"))
+def infer_types(spark: SparkSession, d: str) -> DataFrame:
+    n, e = _graph(spark, d)
+    blank = n.select(F.lit("all").alias("scope"), "id", "label", F.lit("").alias("type"), "file")
+    hints = e.select(F.lit("all").alias("scope"), "source", "target", "relation", F.struct("source", "target").alias("ord"))
+    return graph.infer_types(blank, hints).select(F.col("id").alias("scope_id"), "type")
+
+
+@query("""
+, lab AS (SELECT file AS scope, id, lower(regexp_replace(regexp_replace(label, '^\\.', ''), '\\(\\)$', '')) AS name FROM nodes WHERE type = 'method'),
+known AS (SELECT scope, name, max(id) AS target FROM lab GROUP BY scope, name),
+wanted AS (SELECT DISTINCT 'pkg/catalog/' || p_brand || '.py' AS scope, 'part_' || p_partkey AS source, lower('Create_' || replace(p_name, ' ', '_')) AS name FROM part)
+SELECT w.scope, w.source, k.target FROM wanted w JOIN known k USING (scope, name)""", ("nodes",))
+def resolve_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Each part calls the creator of its name within its file."""
+    labels = p.nodes(spark, d).where("type = 'method'").select(F.col("file").alias("scope"), "id", "label", F.col("id").alias("seq"))
+    calls = p.read(spark, d, "part").select(F.concat(F.lit("pkg/catalog/"), "p_brand", F.lit(".py")).alias("scope"), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("caller"), F.concat(F.lit("Create_"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("callee"))
+    return graph.resolve_calls(labels, calls)
+
+
+@query("SELECT id FROM ext", ("ext",))
+def external_types(spark: SparkSession, d: str) -> DataFrame:
+    return graph.external_types(*_graph(spark, d))
+
+
+@query("SELECT id, type = 'file' OR (file <> '' AND label = regexp_extract(file, '[^/]*$')) AS is_file, type = 'module' OR file = '' AS is_concept FROM nodes", ("nodes",))
+def file_concept_nodes(spark: SparkSession, d: str) -> DataFrame:
+    n = p.nodes(spark, d)
+    return n.select("id", exprs.is_file_node(F.col("label"), F.col("type"), F.col("file")).alias("is_file"), exprs.is_concept(F.col("type"), F.col("file")).alias("is_concept"))
+
+
+# Analyses
+
+GODS = """(SELECT n.id, n.label, coalesce(g.degree, 0) AS degree, n.file FROM nodes n LEFT JOIN degree g ON g.id = n.id
+  WHERE n.type NOT IN ('file', 'module') AND n.file <> '' AND n.label <> regexp_extract(n.file, '[^/]*$') AND n.id NOT IN (SELECT id FROM ext) ORDER BY coalesce(g.degree, 0) DESC, n.id LIMIT 10)"""
+
+
+@query(f"SELECT * FROM {GODS}", ("nodes", "degree", "ext"))
+def god_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.god_nodes(*_graph(spark, d))
+
+
+@query(f""", gods AS {GODS}
+SELECT g.id, g.label, g.degree, g.file, coalesce((SELECT min(n.label) FROM edges e JOIN nodes n ON n.id = e.target WHERE e.source = g.id AND e.relation = 'inherits'), '') AS parent_class,
+  (SELECT CAST(count(*) AS BIGINT) FROM edges e WHERE e.source = g.id AND e.relation = 'method') AS method_count,
+  (SELECT CAST(count(*) AS BIGINT) FROM inh i WHERE i.id = g.id) AS inheritor_count, coalesce((SELECT string_agg(i.label, ',' ORDER BY i.label) FROM inh i WHERE i.id = g.id), '') AS inheritor_names
+FROM gods g""", ("nodes", "degree", "ext", "inh"))
+def god_node_details(spark: SparkSession, d: str) -> DataFrame:
+    n, e = _graph(spark, d)
+    made = analysis.god_node_details(cut_lineage(analysis.god_nodes(n, e)), n, e)
+    return made.withColumn("inheritor_names", F.array_join("inheritor_names", ","))
+
+
+@query(f""", gods AS {GODS}, kids AS (SELECT i.id, i.child, i.label, n.file, (SELECT count(*) FROM edges e WHERE e.source = i.child AND e.relation = 'method') AS m, coalesce((SELECT string_agg(j.label, '+' ORDER BY j.label) FROM inh j WHERE j.id = i.child), '') AS k FROM inh i JOIN nodes n ON n.id = i.child)
+SELECT g.label AS root, g.file AS root_file, CAST(count(*) AS BIGINT) AS size, CAST(CASE WHEN bool_or(k <> '') THEN 2 ELSE 1 END AS INTEGER) AS depth, string_agg(kids.label || '|' || kids.file || '|' || m || '|' || k, ';' ORDER BY kids.label || '|' || kids.file || '|' || m || '|' || k) AS children
+FROM (SELECT * FROM gods UNION ALL SELECT id, label, 0, file FROM nodes WHERE id LIKE 'nation%' AND id NOT IN (SELECT id FROM gods)) g JOIN kids ON kids.id = g.id GROUP BY g.id, g.label, g.file HAVING count(*) >= 3 ORDER BY count(*) DESC, g.id LIMIT 5""", ("nodes", "degree", "ext", "inh"))
+def inheritance_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Hierarchies under the central nodes and the nations."""
+    n, e = _graph(spark, d)
+    gods = cut_lineage(analysis.god_nodes(n, e)).select("id", "label", "file").unionByName(n.where("id like 'nation%'").select("id", "label", "file")).distinct()
+    made = analysis.inheritance_trees(gods, n, e)
+    line = F.transform("children", lambda c: F.concat_ws("|", c["label"], c["file"], c["method_count"].cast("string"), F.array_join(c["children"], "+")))
+    return made.select("root", "root_file", "size", "depth", F.array_join(F.array_sort(line), ";").alias("children"))
+
+
+PLAIN = "(SELECT n.*, coalesce(g.degree, 0) AS degree FROM nodes n LEFT JOIN degree g ON g.id = n.id WHERE n.type NOT IN ('file', 'module') AND n.file <> '' AND n.label <> regexp_extract(n.file, '[^/]*$') AND n.id NOT IN (SELECT id FROM ext))"
+CANDIDATES = f"""cand AS (SELECT e.source, e.target, e.relation, e.confidence, a.label AS source_label, b.label AS target_label, a.file AS source_file, b.file AS target_file, a.degree AS source_degree, b.degree AS target_degree
+  FROM edges e JOIN {PLAIN} a ON a.id = e.source JOIN {PLAIN} b ON b.id = e.target
+  WHERE e.relation NOT IN ('imports', 'imports_from', 'contains', 'method', 'case_of') AND a.file <> b.file AND (e.relation <> 'inherits' OR b.degree <= 5))"""
+MEMBER = "CASE WHEN regexp_matches({0}, '^(customer|supplier|order)_') THEN CAST(regexp_extract({0}, '[0-9]+$') AS BIGINT) % 7 ELSE 99 END"
+SCORED = f"""scored AS (SELECT *, CAST(CASE confidence WHEN 'AMBIGUOUS' THEN 3 WHEN 'INFERRED' THEN 2 WHEN 'EXTRACTED' THEN 1 ELSE 0 END
+    + CASE WHEN relation = 'calls' THEN 2 ELSE 0 END + CASE WHEN {_category('source_file')} <> {_category('target_file')} THEN 2 ELSE 0 END
+    + CASE WHEN split_part(source_file, '/', 1) <> split_part(target_file, '/', 1) THEN 2 ELSE 0 END
+    + CASE WHEN {MEMBER.format('source')} <> {MEMBER.format('target')} THEN 1 ELSE 0 END
+    + CASE WHEN least(source_degree, target_degree) <= 2 AND greatest(source_degree, target_degree) >= 5 THEN 1 ELSE 0 END AS BIGINT) AS score,
+  concat_ws('; ', CASE WHEN confidence IN ('AMBIGUOUS', 'INFERRED') THEN confidence || ' connection - not explicitly stated in source' END,
+    CASE WHEN relation = 'calls' THEN 'runtime call dependency' END,
+    CASE WHEN {_category('source_file')} <> {_category('target_file')} THEN 'crosses file types (' || {_category('source_file')} || ' <-> ' || {_category('target_file')} || ')' END,
+    CASE WHEN split_part(source_file, '/', 1) <> split_part(target_file, '/', 1) THEN 'connects across different repos/directories' END,
+    CASE WHEN {MEMBER.format('source')} <> {MEMBER.format('target')} THEN 'bridges separate communities' END,
+    CASE WHEN least(source_degree, target_degree) <= 2 AND greatest(source_degree, target_degree) >= 5 THEN 'peripheral node reaches hub' END) AS why FROM cand)"""
+
+
+def _membership(nodes: DataFrame) -> DataFrame:
+    """A given partition: customers, suppliers and orders by number modulo 7, the rest together."""
+    number = F.regexp_extract("id", "[0-9]+$", 0)
+    return nodes.select("id", F.when(F.col("id").rlike("^(customer|supplier|order)_"), F.expr("try_cast(regexp_extract(id, '[0-9]+$', 0) as bigint)") % 7).otherwise(F.lit(99)).cast("long").alias("community"), number.alias("n")).drop("n")
+
+
+def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n, e = _graph(spark, d)
+    return n, analysis.surprise_candidates(n, e)
+
+
+@query(f", {CANDIDATES} SELECT source, target, relation, confidence, source_degree, target_degree FROM cand", ("nodes", "degree", "ext"))
+def surprise_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d)[1].select("source", "target", "relation", "confidence", "source_degree", "target_degree")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    n, found = _candidates(spark, d)
+    # The given partition is a function of the id, so the candidates need no join with it.
+    for end in ("source", "target"):
+        number = F.expr(f"try_cast(regexp_extract({end}, '[0-9]+$', 0) as bigint)") % 7
+        found = found.withColumn(f"{end}_community", F.when(F.col(end).rlike("^(customer|supplier|order)_"), number).otherwise(F.lit(99)))
+    return analysis.surprise(found)
+
+
+@query(f", {CANDIDATES}, {SCORED} SELECT source, target, score, why FROM scored", ("nodes", "degree", "ext"))
+def surprise_score(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("source", "target", "score", "why")
+
+
+@query(f""", {CANDIDATES}, {SCORED}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY least(source_label, target_label), greatest(source_label, target_label) ORDER BY score DESC, source, target) AS r FROM scored) WHERE r = 1),
+few AS (SELECT * FROM (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY target_label, relation ORDER BY score DESC, source, target) AS r FROM once) WHERE r <= 2)
+SELECT source, target, source_label, target_label, source_file, target_file, relation, confidence, score, why FROM few ORDER BY score DESC, source, target LIMIT 10""", ("nodes", "degree", "ext"))
+def surprising_connections(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.surprising_top(_scored(spark, d))
+
+
+VERB = "CASE {0} WHEN 0 THEN 'execute' WHEN 1 THEN 'run' ELSE 'handle' END"
+CUT = "CASE WHEN len({0}) <= 5 THEN array_to_string({0}, ', ') ELSE array_to_string({0}[1:5], ', ') || ', (+' || (len({0}) - 5) || ' more)' END"
+
+
+@query(f""", verbs AS (SELECT DISTINCT id, v FROM methods, (VALUES (0, 'execute'), (1, 'run'), (2, 'handle')) t(v, w) WHERE starts_with(name, w)),
+sizes AS (SELECT id, count(*) AS n FROM inh GROUP BY id HAVING count(*) >= 3),
+shared AS (SELECT inh.id, v, count(*) AS having_, list(inh.label ORDER BY inh.label) AS names FROM inh JOIN verbs ON verbs.id = inh.child GROUP BY inh.id, v),
+chosen AS (SELECT c.*, n, coalesce((SELECT min(v) FROM verbs WHERE verbs.id = c.id), (SELECT min(v) FROM shared WHERE shared.id = c.id AND having_ >= 3)) AS v FROM cls c JOIN sizes USING (id))
+SELECT 'Command' AS name, c.id AS anchor_id, c.label AS anchor_node, c.file AS anchor_file, c.n || ' subclasses share ' || {VERB.format('c.v')} || '() method;' || {CUT.format('s.names')} || ' inherit and override it' AS evidence, CAST(having_ + 1 AS BIGINT) AS participants
+FROM chosen c JOIN shared s ON s.id = c.id AND s.v = c.v WHERE having_ >= 3""", ("cls", "methods", "inh"))
+def command_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(patterns.command(*_graph(spark, d)))
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.withColumn("evidence", F.array_join("evidence", ";"))
+
+
+@query(f""", made AS (SELECT id, label FROM methods WHERE regexp_matches(name, '^(create|build|make)')),
+sizes AS (SELECT id, count(*) AS n, list(label ORDER BY label) AS subs FROM inh GROUP BY id HAVING count(*) >= 2),
+common AS (SELECT id, list(low ORDER BY low) AS m FROM (SELECT inh.id, lower(made.label) AS low, count(*) AS k FROM inh JOIN made ON made.id = inh.child GROUP BY inh.id, lower(made.label)) WHERE k >= 2 GROUP BY id),
+own AS (SELECT id, list(label ORDER BY label) AS m FROM made GROUP BY id)
+SELECT 'Builder/Factory' AS name, c.id AS anchor_id, c.label AS anchor_node, c.file AS anchor_file, 'factory methods: ' || array_to_string(coalesce(own.m, common.m), ', ') || ';subclasses: ' || {CUT.format('subs')} AS evidence, CAST(n + 1 AS BIGINT) AS participants
+FROM cls c JOIN sizes USING (id) LEFT JOIN own USING (id) LEFT JOIN common USING (id) WHERE coalesce(own.m, common.m) IS NOT NULL""", ("cls", "methods", "inh"))
+def builder_factory(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(patterns.builder_factory(*_graph(spark, d)))
+
+
+@query("""SELECT 'Observer' AS name, c.id AS anchor_id, c.label AS anchor_node, c.file AS anchor_file, 'observer methods: ' || string_agg(m.label, ', ' ORDER BY m.label) AS evidence, CAST(count(*) + 1 AS BIGINT) AS participants
+FROM cls c JOIN methods m USING (id) WHERE regexp_matches(m.name, '^(addlistener|removelistener|notify|addreaction|subscribe|unsubscribe|addobserver|removeobserver|on|emit)') GROUP BY c.id, c.label, c.file HAVING count(*) >= 2""", ("cls", "methods"))
+def observer_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(patterns.observer(*_graph(spark, d)))
+
+
+@query(""", named AS (SELECT DISTINCT m.id, m.name FROM methods m WHERE m.id IN (SELECT id FROM cls) AND m.id IN (SELECT id FROM methods GROUP BY id HAVING count(*) >= 3)),
+sizes AS (SELECT id, count(*) AS n FROM named GROUP BY id), tied AS (SELECT least(source, target) AS a, greatest(source, target) AS b FROM edges),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM named a JOIN named b ON a.name = b.name AND a.id < b.id GROUP BY a.id, b.id)
+SELECT pairs.a, pairs.b, CAST(shared AS BIGINT) AS shared, CAST(x.n + y.n - shared AS BIGINT) AS "all", CAST(shared * 100 // (x.n + y.n - shared) AS BIGINT) AS percent, shared >= 3 AND shared * 100 // (x.n + y.n - shared) >= 60 AS pass
+FROM pairs JOIN sizes x ON x.id = pairs.a JOIN sizes y ON y.id = pairs.b WHERE NOT EXISTS (SELECT 1 FROM tied t WHERE t.a = pairs.a AND t.b = pairs.b)""", ("cls", "methods", "edges"))
+def strategy_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.strategy_pairs(*_graph(spark, d)).drop("names")
+
+
+@query()
+def strategy_groups(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.strategy_groups(*_graph(spark, d)).withColumn("classes", F.array_join("classes", ","))
+
+
+@query("""SELECT n.id, n.label, n.file, CAST(count(*) AS BIGINT) AS case_count, string_agg(c.label, ',' ORDER BY c.label) AS cases FROM nodes n JOIN edges e ON e.source = n.id AND e.relation = 'case_of' JOIN nodes c ON c.id = e.target WHERE n.type = 'enum' GROUP BY n.id, n.label, n.file HAVING count(*) >= 3""", ("nodes", "edges"))
+def enums(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.enums(*_graph(spark, d)).withColumn("cases", F.array_join("cases", ","))
+
+
+@query(f"""SELECT file AS path, CAST(sum(coalesce(degree, 0)) AS BIGINT) AS total_degree, CAST(count(*) AS BIGINT) AS node_count, CAST(count(*) FILTER (type IN ('class', 'mixin', 'extension')) AS BIGINT) AS class_count,
+  CAST(count(*) FILTER (type = 'method') AS BIGINT) AS method_count, coalesce(string_agg(label, ',' ORDER BY label) FILTER (type IN ('class', 'mixin', 'extension')), '') AS class_names
+FROM nodes LEFT JOIN {RAW} r ON r.id = nodes.id WHERE file <> '' AND NOT {NON_SOURCE.format('file')} GROUP BY file HAVING sum(coalesce(degree, 0)) >= 10 ORDER BY 2 DESC, 1 LIMIT 8""", ("nodes", "edges"))
+def key_files(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.key_files(*_graph(spark, d)).withColumn("class_names", F.array_join("class_names", ","))
+
+
+@query(f"""SELECT a.file AS from_file, b.file AS to_file, CAST(count(*) AS BIGINT) AS count FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target
+WHERE e.relation = 'calls' AND a.file <> '' AND b.file <> '' AND a.file <> b.file AND NOT {NON_SOURCE.format('a.file')} AND NOT {NON_SOURCE.format('b.file')} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10""", ("nodes", "edges"))
+def runtime_deps(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.runtime_deps(*_graph(spark, d))
+
+
+DEPS = f"""deps AS (SELECT a.dir AS from_dir, b.dir AS to_dir, CAST(count(*) AS BIGINT) AS count FROM edges e JOIN (SELECT id, {_second('file')} AS dir FROM nodes) a ON a.id = e.source JOIN (SELECT id, {_second('file')} AS dir FROM nodes) b ON b.id = e.target
+WHERE e.relation IN ('imports', 'imports_from', 'calls') AND a.dir <> '' AND b.dir <> '' AND a.dir <> b.dir GROUP BY 1, 2)"""
+
+
+@query(f", {DEPS} SELECT * FROM deps", ("nodes", "edges"))
+def directory_deps(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.directory_deps(*_graph(spark, d))
+
+
+@query(f", {DEPS} SELECT * FROM deps WHERE from_dir NOT IN {_quoted(fixed.TEST_DIRS)} AND to_dir NOT IN {_quoted(fixed.TEST_DIRS)}", ("nodes", "edges"))
+def source_deps(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.source_deps(analysis.directory_deps(*_graph(spark, d)))
+
+
+@query(f"SELECT dir AS directory, CAST(count(DISTINCT file) AS BIGINT) AS file_count, CAST(count(*) AS BIGINT) AS node_count FROM (SELECT file, {_second('file')} AS dir FROM nodes) WHERE dir <> '' GROUP BY dir", ("nodes",))
+def directory_stats(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.directory_stats(p.nodes(spark, d))
+
+
+STEPS = "steps AS (SELECT event_type AS from_dir, to_dir FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_dir FROM events) WHERE to_dir IS NOT NULL)"
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return p.read(spark, d, "events").select(F.col("event_type").alias("from_dir"), nxt.alias("to_dir")).where("to_dir is not null")
+
+
+@query(f"WITH {STEPS} SELECT from_dir, to_dir, CAST(count(*) AS BIGINT) AS count FROM steps GROUP BY 1, 2")
+def event_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return _steps(spark, d).groupBy("from_dir", "to_dir").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query(f"""WITH RECURSIVE {STEPS}, adj AS (SELECT DISTINCT from_dir AS a, to_dir AS b FROM steps WHERE from_dir <> to_dir),
+walk AS (SELECT a AS root, b AS node FROM adj UNION SELECT w.root, adj.b FROM walk w JOIN adj ON adj.a = w.node)
+SELECT root AS node FROM walk WHERE root = node""")
+def transition_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Event types that lie on a cycle of transitions; the back edges of one walk reach each of them."""
+    adj = layers.adjacency(_steps(spark, d).where("from_dir <> to_dir"))
+    reach: dict[str, set[str]] = {}
+    for a in adj:
+        seen, stack = set(), list(adj[a])
+        while stack:
+            b = stack.pop()
+            if b not in seen:
+                seen.add(b)
+                stack += adj[b]
+        reach[a] = seen
+    assert set().union(*layers.cycles(adj), set()) <= {a for a in adj if a in reach[a]}
+    return spark.createDataFrame([(a,) for a in adj if a in reach[a]], "node string")
+
+
+@query(f""", {DEPS}, dirs AS (SELECT from_dir AS d FROM deps UNION SELECT to_dir FROM deps),
+depth AS (SELECT d, 0 AS k FROM dirs UNION SELECT deps.to_dir, depth.k + 1 FROM depth JOIN deps ON deps.from_dir = depth.d WHERE depth.k < 50)
+SELECT d AS dir, CAST(row_number() OVER (ORDER BY max(k), d) - 1 AS INTEGER) AS position FROM depth GROUP BY d""", ("nodes", "edges"))
+def layer_order(spark: SparkSession, d: str) -> DataFrame:
+    found = layers.layer_order(layers.adjacency(analysis.directory_deps(*_graph(spark, d))))
+    return spark.createDataFrame(list(zip(found, range(len(found)))), "dir string, position int")
+
+
+@query("SELECT " + ", ".join(f"CAST(count(*) FILTER (confidence = '{c}') * 100 // greatest(count(*), 1) AS BIGINT) AS {c.lower()}_pct" for c in fixed.CONFIDENCES) + " FROM edges", ("edges",))
+def confidence_mix(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.confidence_mix(p.edges(spark, d))
+
+
+@query("SELECT e.source, e.target, e.relation, coalesce(a.label, e.source) AS source_label, coalesce(b.label, e.target) AS target_label FROM edges e LEFT JOIN nodes a ON a.id = e.source LEFT JOIN nodes b ON b.id = e.target WHERE e.confidence = 'AMBIGUOUS'", ("nodes", "edges"))
+def ambiguous_edges(spark: SparkSession, d: str) -> DataFrame:
+    return analysis.ambiguous_edges(*_graph(spark, d))
+
+
+# Communities. Clustering runs on customers and suppliers with what they call in one nation of each region.
+
+def _sub(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = p.read(spark, d, "customer").where("c_nationkey % 5 = 0")
+    o = p.read(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    name = lambda kind, key: F.concat(F.lit(f"{kind}_"), F.col(key).cast("string"))
+    e = o.select(name("customer", "c_custkey"), name("order", "o_orderkey")).union(c.where("c_custkey % 4 = 0").select(name("customer", "c_custkey"), name("nation", "c_nationkey"))).toDF("source", "target").distinct()
+    return e.select(F.explode(F.array("source", "target")).alias("id")).distinct(), e
+
+
+@query()
+def components(spark: SparkSession, d: str) -> DataFrame:
+    n, e = _sub(spark, d)
+    return cluster.components(n, cluster.simple(e))
+
+
+# A component here is a nation with its linked customers and their orders, or one customer with theirs: that has a closed form.
+ORACLES["components"] = """
+WITH own AS (SELECT c_custkey, c_nationkey, c_custkey % 4 = 0 AS tied FROM customer WHERE c_nationkey % 5 = 0),
+members AS (
+  SELECT CASE WHEN tied THEN 'nation_' || c_nationkey ELSE 'customer_' || c_custkey END AS g, 'customer_' || c_custkey AS id FROM own WHERE tied OR c_custkey IN (SELECT o_custkey FROM orders)
+  UNION SELECT CASE WHEN tied THEN 'nation_' || c_nationkey ELSE 'customer_' || c_custkey END, 'order_' || o_orderkey FROM own JOIN orders ON o_custkey = c_custkey
+  UNION SELECT 'nation_' || c_nationkey, 'nation_' || c_nationkey FROM own WHERE tied)
+SELECT id, min(id) OVER (PARTITION BY g) AS component FROM members"""
+
+
+@query()
+def louvain(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.louvain(*_sub(spark, d))
+
+
+@query()
+def split_large(spark: SparkSession, d: str) -> DataFrame:
+    n, e = _sub(spark, d)
+    return cluster.split_large(cluster.numbered(cluster.components(n, cluster.simple(e)).withColumnRenamed("component", "community")), n, e)
+
+
+@query()
+def merge_tiny(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by themselves and their orders by themselves, to be merged."""
+    n, e = _sub(spark, d)
+    return cluster.merge_tiny(cluster.numbered(n.select("id", F.col("id").alias("community"))), e)
+
+
+BY_NATION = "mem AS (SELECT 'customer_' || c_custkey AS id, c_nationkey AS community FROM customer UNION ALL SELECT 'supplier_' || s_suppkey, s_nationkey FROM supplier UNION ALL SELECT 'nation_' || n_nationkey, n_nationkey FROM nation UNION ALL SELECT 'region_' || r_regionkey, 100 + r_regionkey FROM region UNION ALL SELECT 'order_' || o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey)"
+PAIRS = "pairs AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM edges WHERE source <> target)"
+
+
+def _by_nation(spark: SparkSession, d: str) -> DataFrame:
+    """A given partition: customers, suppliers and orders by nation, each region by itself."""
+    t = lambda n: p.read(spark, d, n)
+    name = lambda kind, key: F.concat(F.lit(f"{kind}_"), F.col(key).cast("string")).alias("id")
+    of = lambda c: F.col(c).cast("long").alias("community")
+    orders = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    parts = [t("customer").select(name("customer", "c_custkey"), of("c_nationkey")), t("supplier").select(name("supplier", "s_suppkey"), of("s_nationkey")), t("nation").select(name("nation", "n_nationkey"), of("n_nationkey")), t("region").select(name("region", "r_regionkey"), (F.col("r_regionkey") + 100).cast("long").alias("community")), orders.select(name("order", "o_orderkey"), of("c_nationkey"))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionAll(x)
+    return out
+
+
+@query(f""", {BY_NATION}, {PAIRS}, ins AS (SELECT x.community, count(*) AS links FROM pairs JOIN mem x ON x.id = a JOIN mem y ON y.id = b WHERE x.community = y.community GROUP BY 1)
+SELECT CAST(s.community AS BIGINT) AS community, CAST(s.n AS BIGINT) AS size, CAST(coalesce(links, 0) AS BIGINT) AS links, round(CASE WHEN s.n <= 1 THEN 1.0 ELSE coalesce(links, 0) / (s.n * (s.n - 1) / 2.0) END, 6) AS cohesion
+FROM (SELECT community, count(*) AS n FROM mem GROUP BY 1) s LEFT JOIN ins USING (community)""", ("edges",))
+def cohesion(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.cohesion(_by_nation(spark, d), p.edges(spark, d)).withColumn("cohesion", F.round("cohesion", 6))
+
+
+@query(f""", {BY_NATION}, {PAIRS}, ends AS (SELECT x.community AS a, y.community AS b FROM pairs JOIN mem x ON x.id = a JOIN mem y ON y.id = b), m AS (SELECT count(*) AS m FROM ends),
+k AS (SELECT c, count(*) AS k FROM (SELECT a AS c FROM ends UNION ALL SELECT b FROM ends) GROUP BY c)
+SELECT round((SELECT count(*) FROM ends WHERE a = b) / CAST(m AS DOUBLE) - (SELECT sum(CAST(k AS DOUBLE) * k) FROM k) / (4.0 * m * m), 6) AS modularity FROM m""", ("edges",))
+def modularity(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.modularity(_by_nation(spark, d), p.edges(spark, d)).withColumn("modularity", F.round("modularity", 6))
+
+
+@query(f""", {BY_NATION}, own AS (SELECT m.community, n.*, {SCORE} AS score FROM mem m JOIN nodes n ON n.id = m.id LEFT JOIN degree ON degree.id = n.id),
+dirs AS (SELECT community, string_split(file, '/')[-2] AS dir, count(*) AS c FROM own WHERE file <> '' GROUP BY 1, 2), top AS (SELECT community, dir FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY c DESC, dir) AS r FROM dirs) WHERE r = 1),
+best AS (SELECT community, label FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY score DESC, id) AS r FROM own) WHERE r = 1)
+SELECT CAST(best.community AS BIGINT) AS community, CASE WHEN dir IS NULL THEN label ELSE dir || ' / ' || label END AS label FROM best LEFT JOIN top USING (community)""", ("nodes", "degree"))
+def community_labels(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.community_labels(_by_nation(spark, d), *_graph(spark, d))
+
+
+@query(f""", {BY_NATION}, own AS (SELECT m.community, n.id, n.label, row_number() OVER (PARTITION BY m.community ORDER BY n.id) AS r FROM mem m JOIN nodes n ON n.id = m.id)
+SELECT CAST(s.community AS BIGINT) AS community, CAST(s.n AS BIGINT) AS size, string_agg(label, ', ' ORDER BY r) || CASE WHEN s.n > 8 THEN ' (+' || (s.n - 8) || ' more)' ELSE '' END AS members
+FROM (SELECT community, count(*) AS n FROM mem GROUP BY 1) s JOIN own ON own.community = s.community AND r <= 8 WHERE s.n > 1 GROUP BY s.community, s.n""", ("nodes",))
+def community_listing(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.community_listing(_by_nation(spark, d), p.nodes(spark, d))
+
+
+@query(f"WITH {BY_NATION} SELECT CAST(count(*) FILTER (n = 1) AS BIGINT) AS singletons FROM (SELECT community, count(*) AS n FROM mem GROUP BY 1)")
+def singletons(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.singletons(_by_nation(spark, d))
+
+
+# Questions
+
+STOP = _quoted(fixed.STOPWORDS)
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: strlen(w) > 2 AND w NOT IN {STOP}), ' ') AS terms FROM conversations WHERE role = 'user'")
+def extract_terms(spark: SparkSession, d: str) -> DataFrame:
+    return p.read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(exprs.terms(F.col("text")), " ").alias("terms"))
+
+
+QUESTION = "How does Customer#000000007 use run_ and brand#11 of FRANCE?"
+TERMS = traverse.question_terms(QUESTION)
+
+
+def _match(label: str) -> str:
+    return " + ".join(f"CASE WHEN lower({label}) = '{t}' THEN 5 WHEN contains(lower({label}), '{t}') THEN 2 ELSE 0 END" for t in TERMS)
+
+
+@query(f"SELECT id, CAST({_match('label')} AS BIGINT) AS score FROM nodes", ("nodes",))
+def match_score(spark: SparkSession, d: str) -> DataFrame:
+    return p.nodes(spark, d).select("id", exprs.match_score(F.col("label"), F.array(*map(F.lit, TERMS))).alias("score"))
+
+
+SEEDS = f"(SELECT id, label, CAST({_match('label')} - CASE WHEN type IN ('file', 'module') THEN 2 ELSE 0 END AS BIGINT) AS score FROM nodes)"
+TOP_SEEDS = f"(SELECT * FROM {SEEDS} WHERE score > 0 ORDER BY score DESC, id LIMIT 3)"
+
+
+@query(f"SELECT * FROM {TOP_SEEDS}", ("nodes",))
+def seed_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.seeds(p.nodes(spark, d), TERMS)
+
+
+@query(f"SELECT r.id, n.label, r.degree FROM {RAW} r JOIN nodes n ON n.id = r.id ORDER BY r.degree DESC, r.id LIMIT 20", ("nodes", "edges"))
+def top_degree_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.most_linked(*_graph(spark, d))
+
+
+START = ("customer_7", "enum_PROMO", "part_3")
+BFS = f"""l0 AS (SELECT unnest({list(START)}) AS id), l1 AS (SELECT DISTINCT other AS id FROM und WHERE id IN (SELECT id FROM l0) AND other NOT IN (SELECT id FROM l0)),
+l2 AS (SELECT DISTINCT other AS id FROM und WHERE id IN (SELECT id FROM l1) AND other NOT IN (SELECT id FROM l0 UNION ALL SELECT id FROM l1)),
+lev AS (SELECT id, 0 AS level FROM l0 UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2)"""
+
+
+def _start(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in START], "id string")
+
+
+@query(f", {BFS} SELECT id, CAST(level AS INTEGER) AS level FROM lev", ("und",))
+def bfs_depth2(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.neighbourhood(p.edges(spark, d), _start(spark))[0]
+
+
+@query(f", {BFS} SELECT DISTINCT e.source, e.target, e.relation FROM edges e JOIN lev a ON a.id = e.source JOIN lev b ON b.id = e.target WHERE abs(a.level - b.level) = 1", ("und",))
+def bfs_edges(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.neighbourhood(p.edges(spark, d), _start(spark))[1].select("source", "target", "relation")
+
+
+@query()
+def dfs_depth4(spark: SparkSession, d: str) -> DataFrame:
+    """A walk over what one enum and its cases, and a region and its nations, lead to."""
+    calm = p.edges(spark, d).where("relation in ('contains', 'case_of')")
+    seen, _ = traverse.depth_first(calm, ["enum_PROMO", "region_1"])
+    return spark.createDataFrame(list(enumerate(seen)), "position int, id string")
+
+
+@query(f", {BFS} SELECT n.id, n.label, n.type, n.file, CAST({_match('n.label')} AS BIGINT) AS score FROM nodes n WHERE n.id IN (SELECT id FROM lev)", ("nodes", "und"))
+def relevance_rank(spark: SparkSession, d: str) -> DataFrame:
+    n, e = _graph(spark, d)
+    return traverse.relevance(n, traverse.neighbourhood(e, _start(spark))[0], TERMS)
+
+
+BUDGET = 400
+
+
+@query(f""", {BFS}, lines AS (SELECT n.id, '  ' || n.label || ' [type=' || n.type || ' file=' || n.file || ']' || chr(10) AS line, {_match('n.label')} AS score FROM nodes n WHERE n.id IN (SELECT id FROM lev)),
+summed AS (SELECT id, line, CAST(sum(strlen(line)) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bytes FROM lines) SELECT id, line, bytes FROM summed WHERE bytes <= {4 * BUDGET}""", ("nodes", "und"))
+def token_budget(spark: SparkSession, d: str) -> DataFrame:
+    n, e = _graph(spark, d)
+    ranked = traverse.relevance(n, traverse.neighbourhood(e, _start(spark))[0], TERMS)
+    lines = ranked.select("id", "score", ex.node_line().alias("line"))
+    return traverse.within_budget(lines, [F.desc("score"), "id"], BUDGET).select("id", "line", "bytes")
+
+
+@query("SELECT id, label FROM nodes WHERE contains(lower(label), 'customer#00000001') ORDER BY lower(label) = 'customer#00000001' DESC, strlen(label), id LIMIT 1", ("nodes",))
+def find_node(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.find_node(p.nodes(spark, d), "Customer#00000001")
+
+
+@query(""", step0 AS (SELECT 'customer_1' AS id), step1 AS (SELECT id FROM step0 UNION SELECT other FROM und WHERE id IN (SELECT id FROM step0)), step2 AS (SELECT id FROM step1 UNION SELECT other FROM und WHERE id IN (SELECT id FROM step1)),
+step3 AS (SELECT id FROM step2 UNION SELECT other FROM und WHERE id IN (SELECT id FROM step2)), step4 AS (SELECT id FROM step3 UNION SELECT other FROM und WHERE id IN (SELECT id FROM step3)), step5 AS (SELECT id FROM step4 UNION SELECT other FROM und WHERE id IN (SELECT id FROM step4))
+SELECT CAST(CASE WHEN 'part_5' IN (SELECT id FROM step1) THEN 1 WHEN 'part_5' IN (SELECT id FROM step2) THEN 2 WHEN 'part_5' IN (SELECT id FROM step3) THEN 3 WHEN 'part_5' IN (SELECT id FROM step4) THEN 4 WHEN 'part_5' IN (SELECT id FROM step5) THEN 5 END AS BIGINT) AS hops""", ("und",))
+def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.path_length(p.edges(spark, d), "customer_1", "part_5")
+
+
+@query("""SELECT direction, relation, x.id, coalesce(n.label, x.id) AS label, coalesce(n.file, '') AS file, confidence FROM (SELECT 'out' AS direction, relation, target AS id, confidence FROM edges WHERE source = 'nation_6' UNION ALL SELECT 'in', relation, source, confidence FROM edges WHERE target = 'nation_6') x LEFT JOIN nodes n ON n.id = x.id""", ("nodes", "edges"))
+def explain_node(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.explain(*_graph(spark, d), "nation_6")
+
+
+# Validation and exports
+
+@query("SELECT source, target, 'target' AS \"end\", target AS id FROM edges WHERE target LIKE 'supplier_%' AND CAST(substr(target, 10) AS BIGINT) % 7 = 0 UNION ALL SELECT source, target, 'source', source FROM edges WHERE source LIKE 'supplier_%' AND CAST(substr(source, 10) AS BIGINT) % 7 = 0", ("edges",))
+def dangling_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Without each seventh supplier."""
+    n, e = _graph(spark, d)
+    gone = F.col("id").startswith("supplier_") & (F.expr("try_cast(substring(id, 10) as bigint)") % 7 == 0)
+    return validate.dangling(n.where(~F.coalesce(gone, F.lit(False))), e)
+
+
+@query("""
+SELECT 'nodes' AS part, 'supplier_' || s_suppkey AS key, 'file_type' AS field, 'video' AS value FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL SELECT 'nodes', 'supplier_' || s_suppkey, 'source_file', 'missing' FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 'edges', 'supplier_' || s_suppkey || '->nation_' || s_nationkey, 'confidence', 'GUESSED' FROM supplier WHERE s_suppkey % 4 = 0
+UNION ALL SELECT 'edges', 'supplier_' || s_suppkey || '->nation_' || s_nationkey, 'relation', 'missing' FROM supplier WHERE s_suppkey % 9 = 0""")
+def validate_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as records with planted faults."""
+    s = p.read(spark, d, "supplier")
+    key, nation = F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")), F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string"))
+    k = F.col("s_suppkey")
+    n = s.select(key.alias("id"), F.col("s_name").alias("label"), F.when(k % 5 == 0, "video").otherwise("code").alias("file_type"), F.when(k % 3 == 0, None).otherwise("a.py").alias("source_file"))
+    e = s.select(key.alias("source"), nation.alias("target"), F.when(k % 9 == 0, None).otherwise("inherits").alias("relation"), F.when(k % 4 == 0, "GUESSED").otherwise("EXTRACTED").alias("confidence"), F.lit("a.py").alias("source_file"))
+    return validate.bad_fields(n, e)
+
+
+CY = "replace(replace({0}, chr(92), chr(92) || chr(92)), '''', chr(92) || '''')"
+
+
+@query(f"SELECT 'MERGE (n:Node {{id: ''' || id || ''', label: ''' || {CY.format('label')} || '''}})' AS line FROM nodes UNION ALL SELECT 'MATCH (a:Node), (b:Node) WHERE a.id = ''' || source || ''' AND b.id = ''' || target || ''' MERGE (a)-[r:' || relation || ']->(b)' FROM edges", ("nodes", "edges"))
+def cypher_lines(spark: SparkSession, d: str) -> DataFrame:
+    return ex.cypher(*_graph(spark, d))
+
+
+@query(f", {BY_NATION} SELECT '<node id=\"' || n.id || '\"><data key=\"community\">' || coalesce(community, 0) || '</data></node>' AS line FROM nodes n LEFT JOIN mem ON mem.id = n.id UNION ALL SELECT '<edge source=\"' || source || '\" target=\"' || target || '\"/>' FROM edges", ("nodes", "edges"))
+def graphml_rows(spark: SparkSession, d: str) -> DataFrame:
+    n, e = _graph(spark, d)
+    return ex.graphml(n, e, _by_nation(spark, d))
+
+
+@query("SELECT page_id, CAST(pos AS INTEGER) AS pos, href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) AS pos FROM pages)")
+def page_link_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as files that import what they link to."""
+    links = F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href")
+    return p.read(spark, d, "pages").select("page_id", links).select("page_id", (F.col("pos") + 1).alias("pos"), "href")

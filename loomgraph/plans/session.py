@@ -1,0 +1,20 @@
+"""Session helpers of the graph side."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder.
+
+    Iterative operators call this each round: plans stay short and a lost
+    executor costs no recomputation.  The cluster names the folder in
+    spark.checkpoint.dir; a session without that setting gets a temporary one.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+    return df.checkpoint(eager=True)
