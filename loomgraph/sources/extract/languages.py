@@ -364,7 +364,7 @@ def elm(f: Found, text: str) -> None:
     s = blank(text, ("--",), (("{-", "-}"),), "\"")
     for m in re.finditer(r"^import\s+([\w.]+)", s, re.M):
         f.module(m[1], line_of(s, m.start()))
-    words = frozenset("import module type port effect".split())
+    words = frozenset("import module type port effect case of let in if then else msg".split())
     heads = [(m[1], m.start()) for m in re.finditer(r"^([a-z]\w*)(?=[^\n]*(?::|=))", s, re.M) if m[1] not in words]
     _layout(f, s, heads, lambda b: [] if re.match(r"\s*:", b) else re.findall(r"(?<![\w.])([a-z]\w*)(?=\s+[\w(\[\"])", b.split("=", 1)[-1]) + re.findall(r"=\s*([a-z]\w*)\s*[,}]", b))
 
@@ -428,7 +428,7 @@ def dart(f: Found, text: str) -> None:
             for c in re.finditer(rf"(?:^|,)\s*({NAME})", re.sub(r"\([^)]*\)", lambda x: " " * len(x[0]), cases)):
                 f.edge(nid, f.node(make_id(m[2], c[1]), f".{c[1]}", line_of(s, body[0] + 1 + c.start(1)), "enum_value"), "case_of")
     done = 0
-    head = rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:static|external|const|factory|late|final|covariant|abstract)\s+)*(?:(?:{NAME}(?:\.{NAME})?(?:<[^;{{}}()]*>)?\??|void|\([^()]*\))\s+)?(?:(?:get|set|operator)\s+)?({NAME}(?:\.{NAME})?)\s*(?:<[^>;{{}}]*>)?\s*(\(|=>|\{{)"
+    head = rf"(?:^|(?<=[{{}};]))[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:static|external|const|factory|late|final|covariant|abstract)\s+)*(?:(?:{NAME}(?:\.{NAME})?(?:<[^;{{}}()]*>)?\??|void|\([^()]*\))\s+)?(?:(?:get|set|operator)\s+)?({NAME}(?:\.{NAME})?)\s*(?:<[^>;{{}}]*>)?\s*(\(|=>|\{{)"
     for m in re.finditer(head, s, re.M):
         if m.start(1) < done or m[1] in KEYWORDS:
             continue
@@ -494,7 +494,7 @@ EXTRACTORS: dict[str, Extractor] = {
     "javascript": javascript,
     "java": braces(Braces(
         cls=rf"\b(?:class|interface|enum|record)\s+(?P<name>{NAME})", bases=after("extends", "implements"), imports=r"^\s*import\s+(?:static\s+)?(?P<name>[\w.]+)", last=".",
-        fn=rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*{MOD}(?:<[^>]*>\s*)?(?:(?!return\b|new\b|else\b|throw\b)[\w.<>\[\],?\s]+?\s)?(?P<name>{NAME})\s*\((?=[^;{{}}]*\)\s*(?:throws\s[\w.,\s]+)?[{{;])",
+        fn=rf"(?:^|(?<=[{{;}}]))[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*{MOD}(?:<[^>]*>\s*)?(?:(?!return\b|new\b|else\b|throw\b)[\w.<>\[\],?\s]+?\s)?(?P<name>{NAME})\s*\((?=[^;{{}}]*\)\s*(?:throws\s[\w.,\s]+)?[{{;])",
     )),
     "c": braces(Braces(fn=C_FN.replace("~?", "").replace(r"|operator\s*[^\s(]+", ""), imports=INCLUDE, last="/", drop=r"\.h$", prototypes=True)),
     "cpp": braces(Braces(cls=rf"\b(?:class|struct)\s+(?P<name>{NAME})(?=\s*(?:final\s*)?[:{{])", bases=after(":"), fn=C_FN, imports=INCLUDE, last="/", drop=r"\.h(?:pp)?$")),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import exprs, fixed
 
 IGNORE_FILE = ".loomgraphignore"
-SCANNED = "path string, content binary, file_type string, words long, size long, skipped string"
 
 
 def ignore_patterns(root: str) -> list[str]:
@@ -27,12 +26,25 @@ def ignore_patterns(root: str) -> list[str]:
         at = os.path.dirname(at)
 
 
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Files of no bytes under root, which Spark's reader leaves out; they are files of a project all the same."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            out.append(f.getPath().toString())
+    return out
+
+
 def read(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to root), content: all files under root, as Spark lists them; hidden ones are not."""
+    """path (relative to root), content, size: all files under root that Spark lists, and empty ones."""
     base = root.rstrip("/")
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "content", F.col("length").alias("size"))
+    none = spark.createDataFrame([(p, bytearray(), 0) for p in empty_files(spark, base)], "path string, content binary, size long")
     start = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    return whole.select(F.substring(start, len(os.path.abspath(base)) + 2, 2147483647).alias("path"), "content", F.col("length").alias("size"))
+    return whole.unionAll(none).select(F.substring(start, len(os.path.abspath(base)) + 2, 2147483647).alias("path"), "content", "size")
 
 
 def classified(files: DataFrame, patterns: list[str] | None = None, more: bool = False) -> DataFrame:
@@ -92,13 +104,13 @@ class Cache:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _path(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def read(self, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(self.folder)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+        path, fs = self._path()
+        return self.spark.read.schema(schema).parquet(self.folder) if fs.exists(path) else self.spark.createDataFrame([], schema)
 
     def add(self, extracted: DataFrame) -> None:
         extracted.write.mode("append").parquet(self.folder)
@@ -107,6 +119,5 @@ class Cache:
         return self.read(schema).select("hash").distinct()
 
     def clear(self) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(conf).delete(path, True)
+        path, fs = self._path()
+        fs.delete(path, True)
