@@ -4,7 +4,7 @@ Some operators must know of each of the corpus's many keys (n-grams) how often
 it occurs anywhere.  A row for each would be dear, so documents are dealt to
 blocks and keys to slices, and what a block has to tell a slice travels as one
 row with packed arrays; the slice answers with an array in the same order.
-Both numbers derive from the cluster's shuffle width.  A key that is in a third
+Both numbers are small multiples of the cluster's shuffle width.  A key that is in a third
 of all documents comes once from each block.
 """
 
@@ -21,13 +21,46 @@ from . import textvec as tv
 from .runtime import partitions
 
 
-def slices(df: DataFrame) -> int:
-    return 4 * partitions(df.sparkSession)
+#: Shuffle widths up to which blocks and slices get labels that spread evenly; among more of them chance does as well.
+EVEN = 4096
+
+
+def labels(df: DataFrame, each: int) -> np.ndarray:
+    """Labels of blocks or slices, each times the shuffle width, such that as many fall into every partition."""
+    width = partitions(df.sparkSession)
+    n = each * width
+    if width > EVEN:
+        return np.arange(n, dtype=np.int32)
+    some = df.sparkSession.range(24 * n).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(width)).alias("p"))
+    lanes: dict[int, list[int]] = {}
+    for k, p in some.collect():
+        lanes.setdefault(p, []).append(k)
+    if any(len(lanes.get(p, ())) < each for p in range(width)):
+        return np.arange(n, dtype=np.int32)
+    return np.array([lanes[i % width][i // width] for i in range(n)], np.int32)
+
+
+def blocks(df: DataFrame) -> np.ndarray:
+    return labels(df, 2)
+
+
+def slices(df: DataFrame) -> np.ndarray:
+    return labels(df, 1)
+
+
+def places(names: np.ndarray, column: pa.ChunkedArray) -> np.ndarray:
+    """The number of each label in a column; -1 for a value that is none."""
+    order = np.argsort(names)
+    values = column.to_numpy()
+    at = np.minimum(np.searchsorted(names[order], values), len(names) - 1)
+    return np.where(names[order][at] == values, order[at], -1)
 
 
 def dealt(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """block, doc_id, text and the columns keep; rows are dealt by a hash of id and text's length, so repeated rows meet, but hardly more."""
-    block = F.pmod(F.xxhash64(docs[key], F.length(docs[text])), F.lit(slices(docs))).cast("int")
+    names = blocks(docs)
+    number = F.pmod(F.xxhash64(docs[key], F.length(docs[text])), F.lit(len(names))).cast("int")
+    block = F.element_at(F.array(*[F.lit(int(x)) for x in names]), number + 1) if len(names) <= 2 * EVEN else number
     others = [docs[c].alias(f"keep_{c}") for c in keep]
     return docs.select(block.alias("block"), docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), *others)
 
@@ -47,12 +80,12 @@ def slice_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> tv.U(32)) * tv.U(n) >> tv.U(32)).astype(np.int64)
 
 
-def cuts(keys: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
-    """(slice, from, to) of sorted keys for each slice that has any."""
-    which = slice_of(keys, n)
+def cuts(keys: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(label, from, to) of sorted keys for each slice that has any."""
+    which = slice_of(keys, len(names))
     first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(which))
-    return zip(which[first].tolist(), first.tolist(), last.tolist())
+    return zip(names[which[first]].tolist(), first.tolist(), last.tolist())
 
 
 def laid(column: pa.ChunkedArray, dtype: str, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

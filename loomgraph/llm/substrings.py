@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .blocks import cuts, dealt, hashed, laid, slices
+from .blocks import cuts, dealt, hashed, laid, places, slices
 from .runtime import table
 
 #: Words in a window.
@@ -205,8 +205,7 @@ def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
         return pa.Table.from_arrays([t.column("block"), t.column("slice"), pa.array([kinds[b - a : b] for a, b in zip(lengths.tolist(), ends)], pa.binary())], schema=answer)
 
     def kinds_of(s: Spans, right: pa.Table) -> np.ndarray:
-        order = np.argsort(right.column("slice").to_numpy())
-        return laid(right.column("kinds"), "u1", order)[0]
+        return laid(right.column("kinds"), "u1", np.argsort(places(n, right.column("slice"))))[0]
 
     def spans(k: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         s = Spans(left, window)
@@ -273,7 +272,7 @@ def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
 
     def removed(k: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         s = Spans(left, window)
-        order = np.argsort(right.column("slice").to_numpy())
+        order = np.argsort(places(n, right.column("slice")))
         own_kinds = right.column("bits").to_pylist()[order[0]] if len(order) else b""
         s.cut(np.frombuffer(own_kinds, np.uint8))
         bits = laid(right.column("bits"), "<u8", order[1:])[0][s.which]
