@@ -36,7 +36,7 @@ BITS, SAMPLES = 1024, 1024
 #: Standard deviations that a pair may be off and still be looked at.
 SIGMAS = 5.0
 #: Members that one task compares with each other: rows of a block on either side.
-BLOCK = 2048
+BLOCK = 512
 #: Ids that are broadcast to find their texts (8 bytes each); more are joined.
 BROADCAST_IDS = 200_000
 H = 52  # bits of a shingle's hash, after those for the document's place in its slice
