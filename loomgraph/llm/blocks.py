@@ -41,7 +41,7 @@ def labels(df: DataFrame, each: int) -> np.ndarray:
 
 
 def blocks(df: DataFrame) -> np.ndarray:
-    return labels(df, 2)
+    return labels(df, 4)
 
 
 def slices(df: DataFrame) -> np.ndarray:
@@ -60,7 +60,7 @@ def dealt(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> D
     """block, doc_id, text and the columns keep; rows are dealt by a hash of id and text's length, so repeated rows meet, but hardly more."""
     names = blocks(docs)
     number = F.pmod(F.xxhash64(docs[key], F.length(docs[text])), F.lit(len(names))).cast("int")
-    block = F.element_at(F.array(*[F.lit(int(x)) for x in names]), number + 1) if len(names) <= 2 * EVEN else number
+    block = F.element_at(F.array(*[F.lit(int(x)) for x in names]), number + 1) if len(names) <= 4 * EVEN else number
     others = [docs[c].alias(f"keep_{c}") for c in keep]
     return docs.select(block.alias("block"), docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), *others)
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .blocks import cuts, dealt, hashed, laid, slices, slice_of
+from .blocks import cuts, dealt, hashed, laid, places, slice_of, slices
 from .runtime import checkpointed, table
 
 #: Ratio of neighbouring levels, hash functions, and bits for each entry (a false answer in about 1 of 120).
@@ -37,7 +37,7 @@ BROADCAST = 96 << 20
 #: Tokens that a task counts before it passes the counts on.
 TOKENS = 2_000_000
 END, START = tv.U(0x9D5C1B7E3A4F6081), tv.U(0x1F83D9ABFB41BD6B)
-KEY = tv.U((1 << 40) - 1)
+KEY = tv.U((1 << 32) - 1)
 
 LEVELS = np.array([0.0, *(0.5 * (math.ceil(RATIO ** (i - 1)) + max(math.ceil(RATIO ** (i - 1)), math.ceil(RATIO**i) - 1)) for i in range(1, 110))])
 
@@ -65,18 +65,22 @@ def built(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def joined(parts: dict[int, bytes], n: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Filters of slices end to end: bits and first bit of each of n slices, and all bytes. A slice without one has an empty one."""
+    size, base = np.full(n, 64, np.uint64), np.zeros(n, np.int64)
+    at, raw = 8, [b"\0" * 8]
+    for s, part in sorted(parts.items()):
+        size[s], base[s] = 8 * len(part), 8 * at
+        raw.append(part)
+        at += len(part)
+    return size, base, b"".join(raw)
+
+
 class Filter:
-    """All slices, or one, ready for probes."""
-
-    def __init__(self, parts: dict[int, bytes], n: int):
-        self.n = n
-        self.size, self.base = np.full(n, 64, np.uint64), np.zeros(n, np.int64)
-        at, raw = 8, [b"\0" * 8]
-        for s, part in sorted(parts.items()):
-            self.size[s], self.base[s] = 8 * len(part), 8 * at
-            raw.append(part)
-            at += len(part)
-        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+    """Joined slices, or one, ready for probes; holds no copy of the bytes."""
+
+    def __init__(self, size: np.ndarray, base: np.ndarray, raw: bytes):
+        self.n, self.size, self.base, self.bytes = len(size), size, base, np.frombuffer(raw, np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level that each key has, 0 if it isn't there."""
@@ -125,17 +129,15 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _short(keys: np.ndarray) -> bytes:
-    """The last 40 bits of each key; the slice implies the first ones."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """The last 32 bits of each key; the slice implies the first ones."""
+    return keys.astype("<u4").tobytes()
 
 
 def _long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
+    return np.frombuffer(raw, "<u4").astype(np.uint64)
 
 
-def learn(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
+def learn(docs: DataFrame, n: np.ndarray, text: str = "text") -> DataFrame:
     """slice, words and counts (exact, of each word), filter (of words and pairs), one row a slice that has any; docs all teach."""
     told = pa.schema([("slice", pa.int32()), ("pairs", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
 
@@ -193,9 +195,9 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast:
     teach = docs.where(trained(docs[key]))
     model = checkpointed(learn(teach, n, text))
     size, total, distinct = (int(x or 0) for x in model.agg(F.sum(F.octet_length("filter")), F.sum("n"), F.sum("v")).first())
-    shared = None
+    shared, number = None, {x: i for i, x in enumerate(n.tolist())}
     if size <= broadcast:
-        shared = docs.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in model.select("slice", "filter").toLocalIterator()})
+        shared = docs.sparkSession.sparkContext.broadcast(joined({number[r[0]]: bytes(r[1]) for r in model.select("slice", "filter").toLocalIterator()}, len(n)))
     own = dealt(docs, key, text).withColumn("held_out", ~trained(F.col("doc_id")))
     asked = pa.schema([("slice", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("grams", pa.binary())])
     told = pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary()), ("levels", pa.binary())])
@@ -229,23 +231,23 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast:
                 at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
                 counts = np.where(words[at] == keys, have[at], 0).astype("<u8")
         raw = left.column("grams").to_pylist()
-        level_n = np.array([len(x) // 5 for x in raw], np.int64)
+        level_n = np.array([len(x) // 4 for x in raw], np.int64)
         if level_n.sum():
             short = _long(b"".join(raw))
             levels = np.zeros(len(short), np.uint8)
             if right.num_rows:
-                levels = Filter({0: right.column("filter")[0].as_py()}, 1).levels(short)
+                levels = Filter(*joined({0: right.column("filter")[0].as_py()}, 1)).levels(short)
         counts, ends = counts.tobytes(), np.cumsum(lengths).tolist()
         levels, level_ends = levels.tobytes(), np.cumsum(level_n).tolist()
         return pa.Table.from_arrays([left.column("block"), left.column("slice"), pa.array([counts[8 * (b - a) : 8 * b] for a, b in zip(lengths.tolist(), ends)], pa.binary()), pa.array([levels[b - a : b] for a, b in zip(level_n.tolist(), level_ends)], pa.binary())], schema=told)
 
     def score(k: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         word, before, at, words, which = parts(left)
-        order = np.argsort(right.column("slice").to_numpy())
+        order = np.argsort(places(n, right.column("slice")))
         c = laid(right.column("counts"), "<u8", order)[0].astype(np.float64)[which]
         alone = (c + 1) / (total + distinct + 1)
         keys, place = grams(before, word)
-        level = _filter(shared.value, n).levels(keys) if shared is not None else laid(right.column("levels"), "u1", order)[0]
+        level = Filter(*shared.value).levels(keys) if shared is not None else laid(right.column("levels"), "u1", order)[0]
         got = LEVELS[level][place]
         both, context = got[: len(word)], got[len(word) :]
         follows = np.where(context > 0, WEIGHT * np.minimum(both, context) / np.maximum(context, 1) + (1 - WEIGHT) * alone, alone)
@@ -258,16 +260,6 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast:
     return made.withColumnRenamed("doc_id", key)
 
 
-_LAST: list = [None, None]
-
-
-def _filter(parts: dict[int, bytes], n: int) -> Filter:
-    """The broadcast filter, laid out once a worker."""
-    if _LAST[0] is not parts:
-        _LAST[:] = [parts, Filter(parts, n)]
-    return _LAST[1]
-
-
 def op9_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under the model of six sevenths of them."""
     return scored(table(spark, sf_dir, "documents"))
