@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn
 from .ann import op3_multiprobe_neighbours
 from .bpe import op1_byte_bpe
 from .chat import op2_chat_format
 from .knn import op5_kd_tree_top_k
 from .langid import op6_rank_order_language
 from .neardup import op4_near_duplicates
+from .oracles import ORACLES
 from .packing import op8_best_fit
 from .scoring import op9_bloom_lm_scores
 from .sharding import op10_minimax_shards
 from .substrings import op7_substring_dedup
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_chat_format": op2_chat_format,
@@ -30,7 +32,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bloom_lm_scores": op9_bloom_lm_scores,
     "op10_minimax_shards": op10_minimax_shards,
 }
-
-ORACLES: dict[str, str] = {
-    "op5_kd_tree_top_k": knn.ORACLE,
-}
