@@ -11,18 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def last_by(mentions: DataFrame, keys: list[str], value: list[str]) -> DataFrame:
+    """One row for each combination of keys: the values of its last mention (by ord, then by those). Combines before the shuffle."""
+    last = mentions.groupBy(*keys).agg(F.max(F.struct(F.col("ord"), F.struct(*value).alias("value"))).alias("last"))
+    return last.select(*keys, *[F.col(f"last.value.{v}") for v in value])
+
+
 def last_nodes(mentions: DataFrame) -> DataFrame:
-    """One row an id: the label, type and file of its last mention (by ord, then by those). Combines before the shuffle."""
-    value = F.struct("label", "type", "file")
-    last = mentions.groupBy("id").agg(F.max(F.struct(F.col("ord"), value.alias("value"))).alias("last"))
-    return last.select("id", "last.value.label", "last.value.type", "last.value.file")
+    """One row an id: the label, type and file of its last mention."""
+    return last_by(mentions, ["id"], ["label", "type", "file"])
 
 
 def last_edges(mentions: DataFrame) -> DataFrame:
     """One row an ordered pair: the relation, confidence and weight of its last mention."""
-    value = F.struct("relation", "confidence", "weight")
-    last = mentions.groupBy("source", "target").agg(F.max(F.struct(F.col("ord"), value.alias("value"))).alias("last"))
-    return last.select("source", "target", "last.value.relation", "last.value.confidence", "last.value.weight")
+    return last_by(mentions, ["source", "target"], ["relation", "confidence", "weight"])
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,9 +40,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(ends.alias("e")).select("e.id", "e.other")
 
 
+def undirected(edges: DataFrame) -> DataFrame:
+    """a, b: distinct pairs with a <= b, loops included."""
+    return edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    one, two = F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"))
+    return pairs.select(F.explode(F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, two))).alias("e")).select("e.id", "e.other")
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
-    """id, other: distinct, both ways; a self-loop makes a node its own neighbour."""
-    return both_ways(edges).distinct()
+    """id, other: distinct, both ways; a self-loop makes a node its own neighbour.
+
+    Pairs are made distinct before they are doubled, so half as many rows are
+    shuffled.
+    """
+    return _ends(undirected(edges))
 
 
 def degree(edges: DataFrame) -> DataFrame:

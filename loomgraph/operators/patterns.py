@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
+from ..session import cut_lineage
 from . import graph as g
 
 COLUMNS = ("name", "anchor_id", "anchor_node", "anchor_file", "evidence", "participants")
@@ -74,28 +75,39 @@ def observer(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _result(g.project_classes(nodes, edges).join(heard, "id"), "Observer", [F.concat(F.lit("observer methods: "), F.array_join("matched", ", "))], F.col("n") + 1)
 
 
+def _interfaces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and names (distinct, sorted) of classes with three method edges or more."""
+    own = methods(nodes, edges).join(g.project_classes(nodes, edges).select("id"), "id", "left_semi")
+    return own.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("name")).alias("names")).where("n >= 3").select("id", "names")
+
+
 def strategy_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs of classes that share a method: a, b, shared, all, percent, pass, names (sorted).
+    """Pairs of classes that share a method: a, b, shared, all, percent, pass.
 
     Classes have three methods or more and no edge between them.  Pairs meet by
-    a method's name, so classes with nothing in common never do.
+    a method's name, so classes with nothing in common never do; they are
+    counted under numbers instead of ids, and no names travel along.
     """
-    own = methods(nodes, edges).join(g.project_classes(nodes, edges).select("id"), "id", "left_semi")
-    many = own.groupBy("id").agg(F.count(F.lit(1)).alias("edges_"), F.count_distinct("name").alias("size")).where("edges_ >= 3").select("id", "size")
-    named = own.select("id", "name").distinct().join(many, "id")
-    left, right = named.select(F.col("id").alias("a"), "name", F.col("size").alias("na")), named.select(F.col("id").alias("b"), "name", F.col("size").alias("nb"))
-    both = left.join(right, "name").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.array_sort(F.collect_list("name")).alias("names"))
-    tied = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
-    free = both.join(tied, ["a", "b"], "left_anti")
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    return free.select("a", "b", "shared", union.alias("all"), F.expr("shared * 100 div (na + nb - shared)").alias("percent"), ((F.col("shared") >= 3) & (F.expr("shared * 100 div (na + nb - shared)") >= 60)).alias("pass"), "names")
+    sets = cut_lineage(_interfaces(nodes, edges).withColumn("k", F.monotonically_increasing_id()))
+    named = sets.select("k", F.size("names").alias("size"), F.explode("names").alias("name"))
+    left, right = named.select(F.col("k").alias("x"), "name"), named.select(F.col("k").alias("y"), "name")
+    both = left.join(right, "name").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
+    side = lambda end, n: sets.select(F.col("k").alias(end), F.col("id").alias(f"{end}_id"), F.size("names").alias(n))
+    ids = both.join(side("x", "na"), "x").join(side("y", "nb"), "y").select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), "na", "nb", "shared")
+    tied = edges.join(sets.select(F.col("id").alias("source")), "source", "left_semi").join(sets.select(F.col("id").alias("target")), "target", "left_semi")
+    free = ids.join(tied.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")), ["a", "b"], "left_anti")
+    percent = F.expr("shared * 100 div (na + nb - shared)")
+    return free.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all"), percent.alias("percent"), ((F.col("shared") >= 3) & (percent >= 60)).alias("pass"))
 
 
 def strategy_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Exact shared sets of methods with three classes or more: names, classes (labels, sorted), size, file; largest first."""
-    pairs = strategy_pairs(nodes, edges).where("pass")
+    sets = _interfaces(nodes, edges)
+    side = lambda end: sets.select(F.col("id").alias(end), F.col("names").alias(f"{end}_names"))
+    pairs = strategy_pairs(nodes, edges).where("pass").join(side("a"), "a").join(side("b"), "b")
+    names = F.array_join(F.array_sort(F.array_intersect("a_names", "b_names")), ",")
     labels = nodes.select(F.col("id").alias("member"), "label", "file")
-    members = pairs.select(F.array_join("names", ",").alias("names"), F.explode(F.array("a", "b")).alias("member")).distinct().join(labels, "member")
+    members = pairs.select(names.alias("names"), F.explode(F.array("a", "b")).alias("member")).distinct().join(labels, "member")
     grouped = members.groupBy("names").agg(F.array_sort(F.collect_set("label")).alias("classes"), F.min_by("file", "member").alias("file"), F.min("member").alias("anchor_id"))
     return grouped.withColumn("size", F.size("classes").cast("long")).where("size >= 3").orderBy(F.desc("size"), "names")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
-from ..plans.session import cut_lineage
+from ..session import cut_lineage
 from . import graph as g
 
 #: Links of a neighbourhood that the depth-first walk collects.

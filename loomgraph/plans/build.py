@@ -12,7 +12,7 @@ from ..operators import analysis, cluster, export, graph, layers, patterns, repo
 from ..sources import files
 from ..sources.extract import SCHEMA, parsed
 from ..sources.extract import graph as merged
-from .session import cut_lineage
+from ..session import cut_lineage
 
 CACHED = SCHEMA + ", hash string"
 

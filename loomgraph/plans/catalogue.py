@@ -16,7 +16,7 @@ from ..operators import analysis, cluster, graph, layers, patterns, traverse, va
 from ..operators import export as ex
 from ..sources import files
 from . import projection as p
-from .session import cut_lineage
+from ..session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +36,7 @@ def query(oracle: str | None = None, needs: tuple[str, ...] = ()):
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return p.nodes(spark, d), p.edges(spark, d)
+    return p.graph(spark, d)
 
 
 def _quoted(names) -> str:
@@ -73,17 +73,17 @@ def graph_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM edges WHERE (source = 'customer_1' AND target = 'nation_8') OR (source = 'supplier_1' AND target LIKE 'nation_%') OR (source = 'region_1' AND target = 'nation_1')", ("edges",))
 def edge_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return graph.lookup(p.edges(spark, d), [("customer_1", "nation_8"), ("region_1", "nation_1"), *[("supplier_1", f"nation_{k}") for k in range(25)]])
+    return graph.lookup(p.graph(spark, d)[1], [("customer_1", "nation_8"), ("region_1", "nation_1"), *[("supplier_1", f"nation_{k}") for k in range(25)]])
 
 
 @query("SELECT id, other FROM und", ("und",))
 def neighbors(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(p.edges(spark, d))
+    return graph.neighbours(p.graph(spark, d)[1])
 
 
 @query("SELECT id, degree FROM degree", ("degree",))
 def degree(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degree(p.edges(spark, d))
+    return graph.degree(p.graph(spark, d)[1])
 
 
 RAW = "(SELECT id, CAST(count(*) AS BIGINT) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id)"
@@ -91,7 +91,7 @@ RAW = "(SELECT id, CAST(count(*) AS BIGINT) AS degree FROM (SELECT source AS id
 
 @query(f"SELECT id, degree FROM {RAW}", ("edges",))
 def raw_degree(spark: SparkSession, d: str) -> DataFrame:
-    return graph.raw_degree(p.edges(spark, d))
+    return graph.raw_degree(p.graph(spark, d)[1])
 
 
 # Scalar functions
@@ -133,7 +133,7 @@ def file_category(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT file, split_part(file, '/', 1) AS dir FROM nodes", ("nodes",))
 def top_level_dir(spark: SparkSession, d: str) -> DataFrame:
-    return p.nodes(spark, d).select("file").distinct().select("file", exprs.top_level_dir(F.col("file")).alias("dir"))
+    return p.graph(spark, d)[0].select("file").distinct().select("file", exprs.top_level_dir(F.col("file")).alias("dir"))
 
 
 def _second(path: str) -> str:
@@ -145,7 +145,7 @@ def _second(path: str) -> str:
 @query(f"SELECT path, {_second('path')} AS dir FROM (SELECT DISTINCT file AS path FROM nodes UNION SELECT path FROM paths UNION SELECT url FROM pages UNION SELECT 'src/' || n_name FROM nation UNION SELECT n_name || '.py' FROM nation)", ("nodes", "paths"))
 def second_level_dir(spark: SparkSession, d: str) -> DataFrame:
     nation = p.read(spark, d, "nation")
-    every = [p.nodes(spark, d).select("file"), p.paths(spark, d).select("path"), p.read(spark, d, "pages").select("url"), nation.select(F.concat(F.lit("src/"), "n_name")), nation.select(F.concat("n_name", F.lit(".py")))]
+    every = [p.graph(spark, d)[0].select("file"), p.paths(spark, d).select("path"), p.read(spark, d, "pages").select("url"), nation.select(F.concat(F.lit("src/"), "n_name")), nation.select(F.concat("n_name", F.lit(".py")))]
     made = every[0]
     for e in every[1:]:
         made = made.union(e)
@@ -248,7 +248,7 @@ def cache_hits_misses(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, lower(regexp_replace(regexp_replace(label, '^\\.', ''), '\\(\\)$', '')) AS name FROM nodes", ("nodes",))
 def normalize_method(spark: SparkSession, d: str) -> DataFrame:
-    return p.nodes(spark, d).select("id", F.lower(exprs.method_name(F.col("label"))).alias("name"))
+    return p.graph(spark, d)[0].select("id", F.lower(exprs.method_name(F.col("label"))).alias("name"))
 
 
 SCORE = """CASE WHEN type = 'module' THEN -1 ELSE coalesce(degree, 0) + CASE type WHEN 'class' THEN 100 WHEN 'mixin' THEN 100 WHEN 'extension' THEN 100 WHEN 'enum' THEN 90 WHEN 'function' THEN 50
@@ -283,7 +283,7 @@ wanted AS (SELECT DISTINCT 'pkg/catalog/' || p_brand || '.py' AS scope, 'part_'
 SELECT w.scope, w.source, k.target FROM wanted w JOIN known k USING (scope, name)""", ("nodes",))
 def resolve_calls(spark: SparkSession, d: str) -> DataFrame:
     """Each part calls the creator of its name within its file."""
-    labels = p.nodes(spark, d).where("type = 'method'").select(F.col("file").alias("scope"), "id", "label", F.col("id").alias("seq"))
+    labels = p.graph(spark, d)[0].where("type = 'method'").select(F.col("file").alias("scope"), "id", "label", F.col("id").alias("seq"))
     calls = p.read(spark, d, "part").select(F.concat(F.lit("pkg/catalog/"), "p_brand", F.lit(".py")).alias("scope"), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("caller"), F.concat(F.lit("Create_"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("callee"))
     return graph.resolve_calls(labels, calls)
 
@@ -295,7 +295,7 @@ def external_types(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, type = 'file' OR (file <> '' AND label = regexp_extract(file, '[^/]*$')) AS is_file, type = 'module' OR file = '' AS is_concept FROM nodes", ("nodes",))
 def file_concept_nodes(spark: SparkSession, d: str) -> DataFrame:
-    n = p.nodes(spark, d)
+    n = p.graph(spark, d)[0]
     return n.select("id", exprs.is_file_node(F.col("label"), F.col("type"), F.col("file")).alias("is_file"), exprs.is_concept(F.col("type"), F.col("file")).alias("is_concept"))
 
 
@@ -428,7 +428,7 @@ pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM named a JOIN name
 SELECT pairs.a, pairs.b, CAST(shared AS BIGINT) AS shared, CAST(x.n + y.n - shared AS BIGINT) AS "all", CAST(shared * 100 // (x.n + y.n - shared) AS BIGINT) AS percent, shared >= 3 AND shared * 100 // (x.n + y.n - shared) >= 60 AS pass
 FROM pairs JOIN sizes x ON x.id = pairs.a JOIN sizes y ON y.id = pairs.b WHERE NOT EXISTS (SELECT 1 FROM tied t WHERE t.a = pairs.a AND t.b = pairs.b)""", ("cls", "methods", "edges"))
 def strategy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.strategy_pairs(*_graph(spark, d)).drop("names")
+    return patterns.strategy_pairs(*_graph(spark, d))
 
 
 @query()
@@ -470,7 +470,7 @@ def source_deps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT dir AS directory, CAST(count(DISTINCT file) AS BIGINT) AS file_count, CAST(count(*) AS BIGINT) AS node_count FROM (SELECT file, {_second('file')} AS dir FROM nodes) WHERE dir <> '' GROUP BY dir", ("nodes",))
 def directory_stats(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.directory_stats(p.nodes(spark, d))
+    return analysis.directory_stats(p.graph(spark, d)[0])
 
 
 STEPS = "steps AS (SELECT event_type AS from_dir, to_dir FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_dir FROM events) WHERE to_dir IS NOT NULL)"
@@ -517,7 +517,7 @@ def layer_order(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT " + ", ".join(f"CAST(count(*) FILTER (confidence = '{c}') * 100 // greatest(count(*), 1) AS BIGINT) AS {c.lower()}_pct" for c in fixed.CONFIDENCES) + " FROM edges", ("edges",))
 def confidence_mix(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.confidence_mix(p.edges(spark, d))
+    return analysis.confidence_mix(p.graph(spark, d)[1])
 
 
 @query("SELECT e.source, e.target, e.relation, coalesce(a.label, e.source) AS source_label, coalesce(b.label, e.target) AS target_label FROM edges e LEFT JOIN nodes a ON a.id = e.source LEFT JOIN nodes b ON b.id = e.target WHERE e.confidence = 'AMBIGUOUS'", ("nodes", "edges"))
@@ -590,14 +590,14 @@ def _by_nation(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(s.community AS BIGINT) AS community, CAST(s.n AS BIGINT) AS size, CAST(coalesce(links, 0) AS BIGINT) AS links, round(CASE WHEN s.n <= 1 THEN 1.0 ELSE coalesce(links, 0) / (s.n * (s.n - 1) / 2.0) END, 6) AS cohesion
 FROM (SELECT community, count(*) AS n FROM mem GROUP BY 1) s LEFT JOIN ins USING (community)""", ("edges",))
 def cohesion(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cohesion(_by_nation(spark, d), p.edges(spark, d)).withColumn("cohesion", F.round("cohesion", 6))
+    return cluster.cohesion(_by_nation(spark, d), p.graph(spark, d)[1]).withColumn("cohesion", F.round("cohesion", 6))
 
 
 @query(f""", {BY_NATION}, {PAIRS}, ends AS (SELECT x.community AS a, y.community AS b FROM pairs JOIN mem x ON x.id = a JOIN mem y ON y.id = b), m AS (SELECT count(*) AS m FROM ends),
 k AS (SELECT c, count(*) AS k FROM (SELECT a AS c FROM ends UNION ALL SELECT b FROM ends) GROUP BY c)
 SELECT round((SELECT count(*) FROM ends WHERE a = b) / CAST(m AS DOUBLE) - (SELECT sum(CAST(k AS DOUBLE) * k) FROM k) / (4.0 * m * m), 6) AS modularity FROM m""", ("edges",))
 def modularity(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.modularity(_by_nation(spark, d), p.edges(spark, d)).withColumn("modularity", F.round("modularity", 6))
+    return cluster.modularity(_by_nation(spark, d), p.graph(spark, d)[1]).withColumn("modularity", F.round("modularity", 6))
 
 
 @query(f""", {BY_NATION}, own AS (SELECT m.community, n.*, {SCORE} AS score FROM mem m JOIN nodes n ON n.id = m.id LEFT JOIN degree ON degree.id = n.id),
@@ -612,7 +612,7 @@ def community_labels(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(s.community AS BIGINT) AS community, CAST(s.n AS BIGINT) AS size, string_agg(label, ', ' ORDER BY r) || CASE WHEN s.n > 8 THEN ' (+' || (s.n - 8) || ' more)' ELSE '' END AS members
 FROM (SELECT community, count(*) AS n FROM mem GROUP BY 1) s JOIN own ON own.community = s.community AND r <= 8 WHERE s.n > 1 GROUP BY s.community, s.n""", ("nodes",))
 def community_listing(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.community_listing(_by_nation(spark, d), p.nodes(spark, d))
+    return cluster.community_listing(_by_nation(spark, d), p.graph(spark, d)[0])
 
 
 @query(f"WITH {BY_NATION} SELECT CAST(count(*) FILTER (n = 1) AS BIGINT) AS singletons FROM (SELECT community, count(*) AS n FROM mem GROUP BY 1)")
@@ -640,7 +640,7 @@ def _match(label: str) -> str:
 
 @query(f"SELECT id, CAST({_match('label')} AS BIGINT) AS score FROM nodes", ("nodes",))
 def match_score(spark: SparkSession, d: str) -> DataFrame:
-    return p.nodes(spark, d).select("id", exprs.match_score(F.col("label"), F.array(*map(F.lit, TERMS))).alias("score"))
+    return p.graph(spark, d)[0].select("id", exprs.match_score(F.col("label"), F.array(*map(F.lit, TERMS))).alias("score"))
 
 
 SEEDS = f"(SELECT id, label, CAST({_match('label')} - CASE WHEN type IN ('file', 'module') THEN 2 ELSE 0 END AS BIGINT) AS score FROM nodes)"
@@ -649,7 +649,7 @@ TOP_SEEDS = f"(SELECT * FROM {SEEDS} WHERE score > 0 ORDER BY score DESC, id LIM
 
 @query(f"SELECT * FROM {TOP_SEEDS}", ("nodes",))
 def seed_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.seeds(p.nodes(spark, d), TERMS)
+    return traverse.seeds(p.graph(spark, d)[0], TERMS)
 
 
 @query(f"SELECT r.id, n.label, r.degree FROM {RAW} r JOIN nodes n ON n.id = r.id ORDER BY r.degree DESC, r.id LIMIT 20", ("nodes", "edges"))
@@ -669,18 +669,18 @@ def _start(spark: SparkSession) -> DataFrame:
 
 @query(f", {BFS} SELECT id, CAST(level AS INTEGER) AS level FROM lev", ("und",))
 def bfs_depth2(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.neighbourhood(p.edges(spark, d), _start(spark))[0]
+    return traverse.neighbourhood(p.graph(spark, d)[1], _start(spark))[0]
 
 
 @query(f", {BFS} SELECT DISTINCT e.source, e.target, e.relation FROM edges e JOIN lev a ON a.id = e.source JOIN lev b ON b.id = e.target WHERE abs(a.level - b.level) = 1", ("und",))
 def bfs_edges(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.neighbourhood(p.edges(spark, d), _start(spark))[1].select("source", "target", "relation")
+    return traverse.neighbourhood(p.graph(spark, d)[1], _start(spark))[1].select("source", "target", "relation")
 
 
 @query()
 def dfs_depth4(spark: SparkSession, d: str) -> DataFrame:
     """A walk over what one enum and its cases, and a region and its nations, lead to."""
-    calm = p.edges(spark, d).where("relation in ('contains', 'case_of')")
+    calm = p.graph(spark, d)[1].where("relation in ('contains', 'case_of')")
     seen, _ = traverse.depth_first(calm, ["enum_PROMO", "region_1"])
     return spark.createDataFrame(list(enumerate(seen)), "position int, id string")
 
@@ -705,14 +705,14 @@ def token_budget(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, label FROM nodes WHERE contains(lower(label), 'customer#00000001') ORDER BY lower(label) = 'customer#00000001' DESC, strlen(label), id LIMIT 1", ("nodes",))
 def find_node(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.find_node(p.nodes(spark, d), "Customer#00000001")
+    return traverse.find_node(p.graph(spark, d)[0], "Customer#00000001")
 
 
 @query(""", step0 AS (SELECT 'customer_1' AS id), step1 AS (SELECT id FROM step0 UNION SELECT other FROM und WHERE id IN (SELECT id FROM step0)), step2 AS (SELECT id FROM step1 UNION SELECT other FROM und WHERE id IN (SELECT id FROM step1)),
 step3 AS (SELECT id FROM step2 UNION SELECT other FROM und WHERE id IN (SELECT id FROM step2)), step4 AS (SELECT id FROM step3 UNION SELECT other FROM und WHERE id IN (SELECT id FROM step3)), step5 AS (SELECT id FROM step4 UNION SELECT other FROM und WHERE id IN (SELECT id FROM step4))
 SELECT CAST(CASE WHEN 'part_5' IN (SELECT id FROM step1) THEN 1 WHEN 'part_5' IN (SELECT id FROM step2) THEN 2 WHEN 'part_5' IN (SELECT id FROM step3) THEN 3 WHEN 'part_5' IN (SELECT id FROM step4) THEN 4 WHEN 'part_5' IN (SELECT id FROM step5) THEN 5 END AS BIGINT) AS hops""", ("und",))
 def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.path_length(p.edges(spark, d), "customer_1", "part_5")
+    return traverse.path_length(p.graph(spark, d)[1], "customer_1", "part_5")
 
 
 @query("""SELECT direction, relation, x.id, coalesce(n.label, x.id) AS label, coalesce(n.file, '') AS file, confidence FROM (SELECT 'out' AS direction, relation, target AS id, confidence FROM edges WHERE source = 'nation_6' UNION ALL SELECT 'in', relation, source, confidence FROM edges WHERE target = 'nation_6') x LEFT JOIN nodes n ON n.id = x.id""", ("nodes", "edges"))

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import last_by
+
 VERBS = ("execute", "run", "handle", "create", "build", "make", "notify", "subscribe")
 ORDER = ("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
@@ -42,33 +44,49 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, [s.toDF("id", "label", "type", "file") for s in sets])
 
 
+def _confidence() -> Column:
+    return F.when(F.col("l_returnflag") == "A", "AMBIGUOUS").when(F.col("l_returnflag") == "R", "INFERRED").otherwise("EXTRACTED")
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-to-part calls as they are mentioned, one row a line item: source, target, relation, confidence, weight, ord."""
-    confidence = F.when(F.col("l_returnflag") == "A", "AMBIGUOUS").when(F.col("l_returnflag") == "R", "INFERRED").otherwise("EXTRACTED")
-    return read(spark, sf_dir, "lineitem").select(_id("order", "l_orderkey").alias("source"), _id("part", "l_partkey").alias("target"), F.lit("calls").alias("relation"), confidence.alias("confidence"), F.col("l_quantity").alias("weight"), F.struct(*ORDER).alias("ord"))
+    return read(spark, sf_dir, "lineitem").select(_id("order", "l_orderkey").alias("source"), _id("part", "l_partkey").alias("target"), F.lit("calls").alias("relation"), _confidence().alias("confidence"), F.col("l_quantity").alias("weight"), F.struct(*ORDER).alias("ord"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target, relation, confidence, weight; one row an ordered pair."""
-    from ..operators.graph import last_edges
-
     t = lambda n: read(spark, sf_dir, n)
     sure = (F.lit("EXTRACTED"), F.lit(1.0))
     state = F.when(F.col("o_orderstatus") == "P", "AMBIGUOUS").when(F.col("o_orderstatus") == "O", "INFERRED").otherwise("EXTRACTED")
     items = t("lineitem")
+    # The merge runs on the tables' own numbers; ids are made of its result.
+    calls = last_by(items.select("l_orderkey", "l_partkey", _confidence().alias("confidence"), "l_quantity", F.struct(*ORDER).alias("ord")), ["l_orderkey", "l_partkey"], ["confidence", "l_quantity"])
     sets = [
         t("nation").where("n_regionkey <> 0").select(_id("region", "n_regionkey"), _id("nation", "n_nationkey"), F.lit("contains"), *sure),
         t("customer").select(_id("customer", "c_custkey"), _id("nation", "c_nationkey"), F.lit("inherits"), *sure),
         t("supplier").select(_id("supplier", "s_suppkey"), _id("nation", "s_nationkey"), F.lit("inherits"), *sure),
         items.select("l_suppkey", "l_partkey").distinct().select(_id("supplier", "l_suppkey"), _id("part", "l_partkey"), F.lit("method"), *sure),
         t("orders").select(_id("customer", "o_custkey"), _id("order", "o_orderkey"), F.lit("calls"), state, F.lit(1.0)),
-        last_edges(mentions(spark, sf_dir)).select("source", "target", F.lit("calls"), "confidence", "weight"),
+        calls.select(_id("order", "l_orderkey"), _id("part", "l_partkey"), F.lit("calls"), "confidence", F.col("l_quantity")),
         items.select("l_orderkey", "l_suppkey").distinct().select(_id("order", "l_orderkey"), _id("supplier", "l_suppkey"), F.lit("imports"), *sure),
         t("part").select("p_type", "p_brand").distinct().select(F.concat(F.lit("enum_"), "p_type"), F.concat(F.lit("enumval_"), "p_type", F.lit("_"), "p_brand"), F.lit("case_of"), *sure),
     ]
     return reduce(DataFrame.unionAll, [s.toDF("source", "target", "relation", "confidence", "weight") for s in sets])
 
 
+_KEPT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, kept by the session (in memory, else on disk): a graph is made once and asked many times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        for old in [k for k in _KEPT if k[0] != key[0]]:  # of a session that has ended
+            del _KEPT[old]
+        _KEPT[key] = nodes(spark, sf_dir).persist(), edges(spark, sf_dir).persist()
+    return _KEPT[key]
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: path, text."""
     return read(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text", "doc_id")
