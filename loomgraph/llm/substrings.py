@@ -124,11 +124,12 @@ class Spans:
             step = min(done, width - done)
             low = np.minimum(low[: len(low) - step], low[step:])
             done += step
-        self.key = low[self.at]
+        low = low[self.at]
         place = np.zeros(len(self.at), np.int64)
         for o in range(width - 1, -1, -1):  # the leftmost
-            place[grams[self.at + o] == self.key] = o
+            place[grams[self.at + o] == low] = o
         self.place = self.at + place
+        self.key = tv.mix(low)  # minima are small numbers; slices are dealt by the first bits
         self.keys, self.inverse = np.unique(self.key, return_inverse=True)
 
     def occurrences(self) -> np.ndarray:
