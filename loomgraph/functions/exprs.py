@@ -106,6 +106,11 @@ def is_ignored(path: Column, patterns: list[str]) -> Column:
     return _any(tests)
 
 
+def is_under(path: Column, roots: list[str]) -> Column:
+    """Whether a path is one of the roots or inside one."""
+    return _any([F.lit(False), *[(path == r) | F.startswith(path, F.lit(f"{r}/")) for r in roots]])
+
+
 def word_count(text: Column) -> Column:
     """Words between Unicode white space; null has none."""
     return F.coalesce(F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), F.lit(0))

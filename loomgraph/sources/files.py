@@ -47,9 +47,19 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     return whole.unionAll(none).select(F.substring(start, len(os.path.abspath(base)) + 2, 2147483647).alias("path"), "content", "size")
 
 
-def classified(files: DataFrame, patterns: list[str] | None = None, more: bool = False) -> DataFrame:
+def symlinks(root: str) -> list[str]:
+    """Symbolic links under a local root, relative to it; none for a root elsewhere."""
+    out = []
+    for folder, dirs, names in os.walk(root):
+        out += [os.path.relpath(p, root) for p in (os.path.join(folder, n) for n in [*dirs, *names]) if os.path.islink(p)]
+    return sorted(out)
+
+
+def classified(files: DataFrame, patterns: list[str] | None = None, more: bool = False, links: list[str] | None = None) -> DataFrame:
     """files (path, content) with file_type, words, and skipped: why a file is left out, or null.
 
+    links: paths of symbolic links, which are never followed.
+
     Paths decide before contents are looked at; only documents are read as
     papers, and videos have no words.
     """
@@ -58,6 +68,7 @@ def classified(files: DataFrame, patterns: list[str] | None = None, more: bool =
     skipped = (
         F.when(exprs.is_hidden(path), "hidden")
         .when(exprs.in_noise_dir(path), "noise")
+        .when(exprs.is_under(path, links or []), "link")
         .when(exprs.is_ignored(path, patterns or []), "ignored")
         .when(exprs.is_sensitive(path), "sensitive")
         .when(kind.isNull(), "unknown")
@@ -68,7 +79,7 @@ def classified(files: DataFrame, patterns: list[str] | None = None, more: bool =
 
 def collect(spark: SparkSession, root: str, more: bool = False) -> DataFrame:
     """The scan of a folder: kept files, in order of type and path within it, and skipped ones with the reason."""
-    return classified(read(spark, root), ignore_patterns(root), more)
+    return classified(read(spark, root), ignore_patterns(root), more, symlinks(root))
 
 
 def verdict(files: DataFrame) -> DataFrame:

@@ -75,10 +75,13 @@ def project(tmp_path):
 
 
 def test_scan(spark, project):
+    (project / "linked.py").symlink_to(project / "lib/src/a.py")
+    (project / "linked").symlink_to(project / "lib")
     rows = {r["path"]: r for r in files.collect(spark, str(project)).drop("content").collect()}
     kinds = {p: r["file_type"] for p, r in rows.items() if r["file_type"]}
     assert kinds == {"lib/src/a.py": "code", "lib/b.go": "code", "lib/c.dart": "code", "README.md": "document", "img/a.png": "image"}
     assert rows["README.md"]["words"] == 6 and rows["skip/me.py"]["skipped"] == "ignored" and rows["token.txt"]["skipped"] == "sensitive"
+    assert {r["skipped"] for p, r in rows.items() if p.startswith("linked")} <= {"link"}
 
 
 def test_build_and_cache(spark, project, tmp_path):
