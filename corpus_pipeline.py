@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import langid, neardup, packing, substrings
-from loomgraph.llm.runtime import checkpointed, table
+from loomgraph.llm.runtime import checkpointed, modest_batches, table
 
 #: Percent of common shingles from which documents are near copies.
 NEAR = 80
@@ -20,6 +20,7 @@ LEAST_ALIKE = 0.2
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose text is in one of the languages learned from docs; those without letters or like no profile go."""
+    modest_batches(spark)
     model = langid.learn(docs.where(~langid.held_out(docs["doc_id"])))
     made = langid.predict(docs.select(docs["text"].alias("__read"), *[docs[c].alias(f"own_{c}") for c in docs.columns]), model, text="__read", keep=tuple(f"own_{c}" for c in docs.columns))
     good = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_ALIKE)

@@ -303,7 +303,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     Null text counts as empty: no tokens and the digests of nothing.  A null
     key stays null, repeated rows stay repeated, other columns are left out,
     an empty table gives an empty result.  Texts are whole, in slices of about
-    1 MB (or one longer text); a worker holds some tens of times a slice.
+    half a MB (or one longer text); a worker holds some tens of times a slice.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

@@ -27,7 +27,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes and rows of an Arrow batch between Spark and a worker, where the session leaves Spark's defaults.
+BATCH_BYTES, BATCH_ROWS = "8m", "2000"
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's defaults of 10,000 rows: texts are long, and each core holds a batch on either side."""
+    for name, value, default in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_BYTES, None)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if default is None or spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

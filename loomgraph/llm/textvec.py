@@ -12,6 +12,7 @@ about 2**-57 a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ LOWER[65:91] += 32
 
 _SALT = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5
+_LIBC = None
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -34,7 +36,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     got = _POWERS.get(base)
     if got is None or len(got[0]) < n:
-        n = max(1 << 16, 1 << int(n).bit_length())
+        n = max(1 << 16, n + n // 4)
         made = []
         for b in (base, pow(base, -1, 2**64)):
             a = np.ones(n, U)
@@ -94,7 +96,18 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batches, text: str = "text", limit: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can; a worker serves many tasks, and its free lists only grow."""
+    global _LIBC
+    if _LIBC is None:
+        try:
+            _LIBC = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            _LIBC = lambda _: 0
+    _LIBC(0)
+
+
+def pieces(batches, text: str = "text", limit: int = 1 << 19, rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about limit bytes of text (or one longer document) and at most so many rows: slice, bytes, offsets."""
     for batch in batches:
         data, offsets = buffer(batch.column(batch.schema.get_field_index(text)))
@@ -103,6 +116,7 @@ def pieces(batches, text: str = "text", limit: int = 1 << 20, rows: int = 4096)
             to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+        _trim()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
