@@ -46,12 +46,15 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(RATIO) + 1e-9).astype(np.int64)
 
 
-def _places(keys: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
-    """The bits of (key, level) in filters of so many bits."""
+def _hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stride (odd) of the probes for (key, level)."""
     x = tv.mix((keys & KEY) * tv.U(0x9E3779B97F4A7C15) + tv.U(level))
-    a, b = x >> tv.U(32), (x & tv.U(0xFFFFFFFF)) | tv.U(1)
-    for i in range(PROBES):
-        yield ((a + tv.U(i) * b) % size).astype(np.int64)
+    return x >> tv.U(32), (x & tv.U(0xFFFFFFFF)) | tv.U(1)
+
+
+def _place(a: np.ndarray, b: np.ndarray, probe: int, size: np.ndarray) -> np.ndarray:
+    """The bit that a probe looks at, in filters of so many bits (under 2**32)."""
+    return (((a + tv.U(probe) * b) & tv.U(0xFFFFFFFF)) * size >> tv.U(32)).astype(np.int64)
 
 
 def built(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -60,8 +63,9 @@ def built(keys: np.ndarray, counts: np.ndarray) -> bytes:
     size = max(64, -(-int(level.sum()) * BITS // 8) * 8)
     bits = np.zeros(size, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
-        for place in _places(keys[level >= j], j, tv.U(size)):
-            bits[place] = 1
+        a, b = _hashes(keys[level >= j], j)
+        for i in range(PROBES):
+            bits[_place(a, b, i, tv.U(size))] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -89,11 +93,12 @@ class Filter:
         left, level = np.arange(len(keys)), 1
         while len(left) and level < len(LEVELS):
             size, base = self.size[where[left]], self.base[where[left]]
-            yes = np.ones(len(left), bool)
-            for place in _places(keys[left], level, size):
-                bit = base + place
-                yes &= (self.bytes[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            left = left[yes]
+            a, b = _hashes(keys[left], level)
+            for i in range(PROBES):  # a key that is absent is so mostly by the first or second bit
+                bit = base + _place(a, b, i, size)
+                yes = (self.bytes[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                if not yes.all():
+                    left, size, base, a, b = left[yes], size[yes], base[yes], a[yes], b[yes]
             out[left] = level
             level += 1
         return out
