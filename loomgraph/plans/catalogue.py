@@ -106,7 +106,7 @@ def make_id(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {MAKE_ID.format('path || left(text, 200)')} AS node_id FROM paths", ("paths",))
 def make_id_multilingual(spark: SparkSession, d: str) -> DataFrame:
-    return p.paths(spark, d).select("doc_id", exprs.make_id(F.concat("path", F.substring("text", 1, 200))).alias("node_id"))
+    return p.paths(spark, d).select("doc_id", exprs.make_id(F.concat("path", "text")).alias("node_id"))
 
 
 ENDINGS = (*fixed.CATEGORY_CODE, *fixed.CATEGORY_PAPER, *fixed.CATEGORY_IMAGE, ".dart", ".PY", ".txt", "", ".tar.gz")
