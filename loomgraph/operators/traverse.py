@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from ..functions import exprs, fixed
 from ..session import cut_lineage
 from . import graph as g
 
-#: Links of a neighbourhood that the depth-first walk collects.
+#: Links that the depth-first walk collects at once.
 WALK_LINKS = 500_000
 
 
@@ -53,32 +53,53 @@ def depth_first(edges: DataFrame, start: list[str], depth: int = 4) -> tuple[lis
     """Ids in the order a depth-first walk meets them, and the links it pushed whose far end was new then.
 
     The order of a stack is sequential, so the walk is on the driver, over the
-    links that start reaches in depth steps; more than WALK_LINKS are refused.
+    links that start reaches in depth steps.  They come in batches of about
+    WALK_LINKS and are kept as numbers.
     """
     ids = edges.sparkSession.createDataFrame([(s,) for s in start], "id string")
     reach, _ = neighbourhood(edges, ids, depth)
     ends = reach.select("id")
-    own = edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(edges.join(ends.withColumnRenamed("id", "target"), "target", "left_semi")).distinct()
-    rows = own.select("source", "target", "relation", "confidence").limit(WALK_LINKS + 1).collect()
-    if len(rows) > WALK_LINKS:
-        raise ValueError(f"the neighbourhood has more than {WALK_LINKS} links")
-    out, into = defaultdict(list), defaultdict(list)
-    for r in sorted(rows):
-        out[r["source"]].append(r)
-        into[r["target"]].append(r)
-    seen: dict[str, None] = {}
-    links: list[tuple] = []
-    stack = [(s, 0) for s in reversed(start)]
+    fields = ["source", "target", "relation", "confidence"]
+    own = edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").unionByName(edges.join(ends.withColumnRenamed("id", "target"), "target", "left_semi"))
+    own = cut_lineage(own.select(*fields).distinct())
+    batches = own.count() // WALK_LINKS + 1
+    codes: tuple[dict, dict] = ({s: i for i, s in enumerate(dict.fromkeys(start))}, {})
+    parts = []
+    for b in range(batches):
+        got = own.where(F.pmod(F.xxhash64("source", "target"), F.lit(batches)) == b).toArrow()
+        parts.append(np.array([[c.setdefault(v, len(c)) for v in got.column(f).to_pylist()] for f, c in zip(fields, (codes[0], codes[0], codes[1], codes[1]))], dtype=np.int32))
+    # Numbers in the order of what they stand for.
+    names, words = sorted(codes[0]), sorted(codes[1])
+    rank = lambda c, known: np.argsort(np.array([c[v] for v in known], dtype=np.int64))
+    ends_rank, words_rank = rank(codes[0], names), rank(codes[1], words)
+    cols = np.concatenate(parts, axis=1)
+    cols = np.stack([ends_rank[cols[0]], ends_rank[cols[1]], words_rank[cols[2]], words_rank[cols[3]]])
+    cols = cols[:, np.lexsort(cols[::-1])]
+    back = np.argsort(cols[1], kind="stable")
+    out_at = np.searchsorted(cols[0], np.arange(len(names) + 1))
+    in_at = np.searchsorted(cols[1][back], np.arange(len(names) + 1))
+    met = np.zeros(len(names), dtype=bool)
+    place = {v: i for i, v in enumerate(names)}
+    order: list[int] = []
+    pushed: list[np.ndarray] = []
+    stack = [(np.array([place[s] for s in reversed(start)], dtype=np.int64), 0)]
     while stack:
-        node, d = stack.pop()
-        if node in seen or d > depth:
+        far, d = stack.pop()
+        node, rest = far[-1], far[:-1]
+        if len(rest):
+            stack.append((rest, d))
+        if met[node] or d > depth:
             continue
-        seen[node] = None
-        for r, far in [(r, r["target"]) for r in out[node]] + [(r, r["source"]) for r in into[node]]:
-            if far not in seen:
-                stack.append((far, d + 1))
-                links.append(tuple(r))
-    return list(seen), list(dict.fromkeys(links))
+        met[node] = True
+        order.append(int(node))
+        links = np.concatenate([np.arange(out_at[node], out_at[node + 1]), back[in_at[node] : in_at[node + 1]]])
+        far = np.concatenate([cols[1][out_at[node] : out_at[node + 1]], cols[0][back[in_at[node] : in_at[node + 1]]]])
+        new = ~met[far]
+        if new.any():
+            stack.append((far[new], d + 1))
+            pushed.append(links[new])
+    took = dict.fromkeys(np.concatenate(pushed).tolist()) if pushed else {}
+    return [names[i] for i in order], [(names[cols[0][i]], names[cols[1][i]], words[cols[2][i]], words[cols[3][i]]) for i in took]
 
 
 def relevance(nodes: DataFrame, ids: DataFrame, terms: list[str]) -> DataFrame:

@@ -679,9 +679,7 @@ def bfs_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dfs_depth4(spark: SparkSession, d: str) -> DataFrame:
-    """A walk over what one enum and its cases, and a region and its nations, lead to."""
-    calm = p.graph(spark, d)[1].where("relation in ('contains', 'case_of')")
-    seen, _ = traverse.depth_first(calm, ["enum_PROMO", "region_1"])
+    seen, _ = traverse.depth_first(p.graph(spark, d)[1], list(START))
     return spark.createDataFrame(list(enumerate(seen)), "position int, id string")
 
 

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from loomgraph.operators import traverse
 from loomgraph.plans import catalogue
 from loomgraph.plans import projection as p
 
@@ -19,3 +20,10 @@ def test_ids_are_made_of_whole_texts(spark):
     want = duck(p.sql("paths") + " SELECT doc_id, " + catalogue.MAKE_ID.format("path || text") + " FROM paths")
     made = catalogue.QUERIES["make_id_multilingual"](spark, SF).select("doc_id", "node_id").collect()
     assert sorted(map(tuple, made)) == sorted(want) and max(len(r["node_id"]) for r in made) > 1000
+
+
+def test_walk_beyond_one_batch_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "WALK_LINKS", 3)
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "calls", "EXTRACTED", 1.0) for i in range(9)] + [("n0", "m", "imports", "EXTRACTED", 1.0)], "source string, target string, relation string, confidence string, weight double")
+    seen, links = traverse.depth_first(e, ["n0"])
+    assert seen == ["n0", "n1", "n2", "n3", "n4", "m"] and ("n4", "n5", "calls", "EXTRACTED") in links
