@@ -2,7 +2,7 @@
 
 import duckdb
 
-from loomgraph.operators import traverse
+from loomgraph.operators import cluster, traverse
 from loomgraph.plans import catalogue
 from loomgraph.plans import projection as p
 
@@ -27,3 +27,23 @@ def test_walk_beyond_one_batch_is_whole(spark, monkeypatch):
     e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "calls", "EXTRACTED", 1.0) for i in range(9)] + [("n0", "m", "imports", "EXTRACTED", 1.0)], "source string, target string, relation string, confidence string, weight double")
     seen, links = traverse.depth_first(e, ["n0"])
     assert seen == ["n0", "n1", "n2", "n3", "n4", "m"] and ("n4", "n5", "calls", "EXTRACTED") in links
+
+
+def gaining(label, pairs):
+    """Nodes that would gain by a move to a neighbour's community, by brute force."""
+    near, m = {v: [] for v in label}, len(pairs)
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    size = {}
+    for v, c in label.items():
+        size[c] = size.get(c, 0) + len(near[v])
+    gain = lambda v, c: sum(label[u] == c for u in near[v]) - (size[c] - len(near[v]) * (label[v] == c)) * len(near[v]) / (2 * m)
+    return [v for v in label if any(gain(v, label[u]) > gain(v, label[v]) + 1e-9 for u in near[v])]
+
+
+def test_no_node_gains_after_rounds(spark):
+    pairs = sorted({tuple(sorted((f"n{i:03}", f"n{(i * k + k) % 40:03}"))) for i in range(40) for k in (1, 7) if i != (i * k + k) % 40})
+    e = spark.createDataFrame(pairs, "a string, b string")
+    level, moved = cluster._level(e.selectExpr("'p' as part", "a", "b", "1.0D as w", f"{len(pairs)}.0D as total"), 1.0)
+    assert moved and gaining({r["id"]: r["community"] for r in level.collect()}, pairs) == []
