@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -121,17 +122,18 @@ def find_node(nodes: DataFrame, name: str) -> DataFrame:
     return some.orderBy(F.desc(low == name.lower()), F.octet_length("label"), "id").limit(1).select("id", "label")
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 64) -> list[dict] | None:
+def shortest_path(edges: DataFrame, start: str, end: str, most: int | None = None) -> list[dict] | None:
     """Steps (from, to, relation, confidence, forward) of a shortest path either way, or None.
 
-    Level by level; parents prefer forward links, then the smallest id.  Only
-    the path itself comes to the driver.
+    Level by level until nothing new is met (or most levels, if given); parents
+    prefer forward links, then the smallest id.  Only the path itself comes to
+    the driver.
     """
     spark = edges.sparkSession
     if start == end:
         return []
     seen = cut_lineage(spark.createDataFrame([(start, 0, None, None, None, None)], "id string, level int, parent string, relation string, confidence string, forward boolean"))
-    for level in range(1, most + 1):
+    for level in count(1) if most is None else range(1, most + 1):
         front = seen.where(F.col("level") == level - 1).select(F.col("id").alias("parent"))
         out = edges.join(front, edges["source"] == front["parent"]).select(F.col("target").alias("id"), "parent", "relation", "confidence", F.lit(True).alias("forward"))
         into = edges.join(front, edges["target"] == front["parent"]).select(F.col("source").alias("id"), "parent", "relation", "confidence", F.lit(False).alias("forward"))
@@ -150,7 +152,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int = 64) -> lis
     return None
 
 
-def path_length(edges: DataFrame, start: str, end: str, most: int = 64) -> DataFrame:
+def path_length(edges: DataFrame, start: str, end: str, most: int | None = None) -> DataFrame:
     """hops: of a shortest path, null if there is none."""
     path = shortest_path(edges, start, end, most)
     return edges.sparkSession.createDataFrame([(None if path is None else len(path),)], "hops long")

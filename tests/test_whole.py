@@ -47,3 +47,8 @@ def test_no_node_gains_after_rounds(spark):
     e = spark.createDataFrame(pairs, "a string, b string")
     level, moved = cluster._level(e.selectExpr("'p' as part", "a", "b", "1.0D as w", f"{len(pairs)}.0D as total"), 1.0)
     assert moved and gaining({r["id"]: r["community"] for r in level.collect()}, pairs) == []
+
+
+def test_paths_have_no_longest_length(spark):
+    e = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", "calls", "EXTRACTED", 1.0) for i in range(66)], "source string, target string, relation string, confidence string, weight double")
+    assert len(traverse.shortest_path(e, "n000", "n066")) == 66
