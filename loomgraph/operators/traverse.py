@@ -83,7 +83,7 @@ def depth_first(edges: DataFrame, start: list[str], depth: int = 4) -> tuple[lis
     place = {v: i for i, v in enumerate(names)}
     order: list[int] = []
     pushed: list[np.ndarray] = []
-    stack = [(np.array([place[s] for s in reversed(start)], dtype=np.int64), 0)]
+    stack = [(np.array([place[s] for s in reversed(start)], dtype=np.int64), 0)] if start else []
     while stack:
         far, d = stack.pop()
         node, rest = far[-1], far[:-1]
