@@ -8,8 +8,11 @@ one that died, and the live neighbour to the left), each a point update along
 one path to the root: O(n log n) for n bytes, however long a run is.
 
 The trees of many pretokens are arrays of one shape and advance together, one
-merge a step, so that the work is numpy's.  Equal pretokens are encoded once a
-batch and kept in a bounded cache of the worker.  Texts are split where the
+merge a step, so that the work is numpy's; a few very long pretokens advance
+one by one.  Equal pretokens are encoded once a batch and kept in a bounded
+cache of the worker, found by a hash.  The bytes that a batch's ids decode to
+are compared with its texts, and a batch that differs (two pretokens share a
+hash) is encoded without the cache.  Texts are split where the
 pattern of the public rank files splits them; the classes of code points are
 taken from the installed library's own regular expressions, so that both agree
 on every code point.
@@ -32,6 +35,8 @@ from .runtime import table, typed
 INF = np.int64(2**62)
 #: What the pattern treats as an English ending after an apostrophe.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: Bytes from which on a pretoken gets a tree of its own, unless so many others of its size go with it.
+OWN_TREE, TOGETHER = 512, 48
 #: Encoded pretokens that a worker keeps; beyond that, the cache starts anew.
 CACHE_WORDS = 1_500_000
 
@@ -109,7 +114,7 @@ class Vocabulary:
                     pairs[a * size + b] = i
         self.pairs = np.array(sorted(pairs), np.int64)
         self.made = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
-        self.whole = {t: i for t, i in ranks.items()}
+        self._ranks: dict[int, int] | None = None
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -125,18 +130,20 @@ class Vocabulary:
     def encode(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pretokens data[starts[i]:][:lengths[i]], laid end to end, and how many each has."""
         counts = np.zeros(len(starts), np.int64)
-        out: list = [None] * len(starts)
         width = np.maximum(2, 1 << np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64))
         order, groups = [], []
         for w in np.unique(width).tolist():
             which = np.flatnonzero(width == w)
             for at in range(0, len(which), max(1, (1 << 20) // w)):
                 part = which[at : at + max(1, (1 << 20) // w)]
-                ids, n = self._encode(data, starts[part], lengths[part], w)
+                if w >= OWN_TREE and len(part) < TOGETHER:
+                    one = [self._encode_one(data[a : a + m]) for a, m in zip(starts[part].tolist(), lengths[part].tolist())]
+                    ids, n = np.concatenate(one), np.array([len(x) for x in one], np.int64)
+                else:
+                    ids, n = self._encode(data, starts[part], lengths[part], w)
                 counts[part] = n
                 order.append(part)
                 groups.append(ids)
-        del out
         if not order:
             return np.zeros(0, np.int64), counts
         flat, who = np.concatenate(groups), np.concatenate(order)
@@ -187,6 +194,54 @@ class Vocabulary:
         got = ids >= 0
         return ids[got], got.sum(1)
 
+    def _encode_one(self, data: np.ndarray) -> np.ndarray:
+        """encode() for one pretoken of two bytes or more."""
+        if self._ranks is None:
+            self._ranks = dict(zip(self.pairs.tolist(), self.made.tolist()))
+        ranks, size, none = self._ranks, int(self.size), int(INF)
+        n = len(data)
+        bits = (n - 1).bit_length()
+        w = 1 << bits
+        first = self.single[data]
+        level = np.full(w, INF)
+        level[: n - 1] = self._key(first[:-1], first[1:], np.arange(n - 1), w)
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][0::2], levels[-1][1::2]))
+        tree = [none, *np.concatenate(levels[::-1]).tolist()]
+        ids, right, left = first.tolist(), [*range(1, n), -1], list(range(-1, n - 1))
+
+        def put(at: int, key: int) -> None:
+            node = at + w
+            tree[node] = key
+            node >>= 1
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                if b < a:
+                    a = b
+                if tree[node] == a:  # nothing changes further up
+                    return
+                tree[node] = a
+                node >>= 1
+
+        def key(a: int, b: int, at: int) -> int:
+            rank = ranks.get(a * size + b)
+            return none if rank is None else (rank << bits) + at
+
+        while tree[1] < none:
+            at, made = tree[1] & (w - 1), tree[1] >> bits
+            dead, before = right[at], left[at]
+            after = right[at] = right[dead]
+            ids[at], ids[dead] = made, -1
+            put(dead, none)
+            if after >= 0:
+                left[after] = at
+            put(at, key(made, ids[after], at) if after >= 0 else none)
+            if before >= 0:
+                put(before, key(ids[before], made, before))
+        ids = np.array(ids, np.int64)
+        return ids[ids >= 0]
+
     def _key(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, w: int) -> np.ndarray:
         rank = self.rank(a, b)
         return np.where(rank < INF, rank * w + place, INF)
@@ -217,10 +272,10 @@ class Encoder:
     def _forget(self) -> None:
         self.keys, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts laid end to end, and where each text's begin (len + 1)."""
+    def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts laid end to end, where each text's begin (len + 1), the bytes they decode to and each id's number of bytes."""
         if not len(data):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         at_byte = np.flatnonzero((data & 0xC0) != 0x80)  # where each code point begins
         doc_point = np.searchsorted(at_byte, offsets[:-1])
@@ -245,7 +300,13 @@ class Encoder:
         where = place[inverse]
         n = self.count[where]
         token = np.searchsorted(starts, offsets)
-        return tv.gather(self.ids, self.first[where], n), np.concatenate(([0], np.cumsum(n)))[token]
+        ids = tv.gather(self.ids, self.first[where], n)
+        back, size = self.v.decode(ids)
+        if not np.array_equal(back, data):  # different pretokens of one hash
+            ids, n = self.v.encode(data, starts, ends - starts)
+            ids = ids.astype(np.int32)
+            back, size = self.v.decode(ids)
+        return ids, np.concatenate(([0], np.cumsum(n)))[token], back, size
 
     def _known(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -266,7 +327,7 @@ def encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and ids (array of int) of each text. Null or empty text: an empty array. One row a row of docs; other columns are left out."""
-    return _mapped(docs, path, key, text, T.ArrayType(T.IntegerType()), "ids", pa.list_(pa.int32()), lambda e, d, o: (lambda ids, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))(*e.batch(d, o)))
+    return _mapped(docs, path, key, text, T.ArrayType(T.IntegerType()), "ids", pa.list_(pa.int32()), lambda e, d, o: (lambda ids, at, *_: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))(*e.batch(d, o)))
 
 
 def decode(coded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -310,8 +371,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b, data, offsets in tv.pieces(batches, "text"):
-            ids, at = e.batch(data, offsets)
-            back, n = e.v.decode(ids)
+            ids, at, back, n = e.batch(data, offsets)
             edge = np.concatenate(([0], np.cumsum(n)))[at]
             ids, back = memoryview(ids.astype("<u4").tobytes()), memoryview(back.tobytes())
             row = {"doc_id": b.column(0), "n_tokens": np.diff(at)}

@@ -31,18 +31,30 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Chunks:
-    """Encodes texts by a public tokenizer that drops white space: each distinct chunk between white space once."""
+    """Encodes texts by a public tokenizer that drops white space: each distinct chunk between white space once.
+
+    Chunks are found by a hash, and their bytes compared; a batch in which two
+    chunks share a hash is encoded chunk by chunk.  The strings of the
+    tokenizer's special tokens are read as the library reads them: as those.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True  # their strings in a text are ordinary text
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.first, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.text, self.from_, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # each chunk's bytes
+
+    def _made(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks laid end to end, and how many each has."""
+        raw = data.tobytes()
+        made = [x.ids for x in self.t.encode_batch_fast([raw[i:j].decode() for i, j in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)]
+        counts = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter((i for ids in made for i in ids), np.int32, int(counts.sum())), counts
 
     def _known(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -61,18 +73,21 @@ class Chunks:
             if len(self.keys) + len(new) > CACHE_CHUNKS:
                 self._forget()
                 new = np.arange(len(unique))
-            raw, s, e = data.tobytes(), starts[sample[new]].tolist(), ends[sample[new]].tolist()
-            made = [x.ids for x in self.t.encode_batch_fast([raw[i:j].decode() for i, j in zip(s, e)], add_special_tokens=False)]
-            counts = np.fromiter(map(len, made), np.int64, len(made))
-            first = np.cumsum(counts) - counts + len(self.ids)
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in made for i in ids), np.int32, int(counts.sum()))])
+            a, b = starts[sample[new]], ends[sample[new]]
+            ids, counts = self._made(data, a, b)
+            first, from_ = np.cumsum(counts) - counts + len(self.ids), np.cumsum(b - a) - (b - a) + len(self.text)
+            self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, tv.gather(data, a, b - a)])
             known = np.concatenate([self.keys, unique[new]])
             order = np.argsort(known, kind="stable")
             self.keys, self.first, self.count = known[order], np.concatenate([self.first, first])[order], np.concatenate([self.count, counts])[order]
+            self.from_, self.size = np.concatenate([self.from_, from_])[order], np.concatenate([self.size, b - a])[order]
             place = self._known(unique)
         where = place[inverse]
         n = self.count[where]
-        return tv.gather(self.ids, self.first[where], n), np.concatenate(([0], np.cumsum(n)))[doc]
+        ids = tv.gather(self.ids, self.first[where], n)
+        if not np.array_equal(self.size[where], ends - starts) or not np.array_equal(tv.gather(self.text, self.from_[where], ends - starts), data[~tv.SPACE[data]]):
+            ids, n = self._made(data, starts, ends)
+        return ids, np.concatenate(([0], np.cumsum(n)))[doc]
 
 
 _CHUNKS: dict[str, Chunks] = {}

@@ -17,9 +17,8 @@ minimizers, so a window can only match inside its own shard.
     says whether the window occurs twice.
 4.  The blocks get one bit a window back, and remove what is covered.
 
-Words are compared by 40 bits of their hash on top of the minimizer's 64: a
-wrong removal takes two passages that differ in a few words only, all of which
-collide, with a probability of about 1e-12 a pair.
+Words are compared by all 64 bits of their hash, one by one: a wrong removal
+takes two different words that share a hash (about 2**-64 a pair of words).
 """
 
 from __future__ import annotations
@@ -39,7 +38,6 @@ WINDOW = 35
 FREQUENT = 4096
 #: Words of an automaton after which a shard starts the next one (groups of one minimizer stay whole).
 AUTOMATON = 100_000
-WORD = 5  # bytes of a word's hash
 
 
 class SuffixAutomaton:
@@ -117,7 +115,7 @@ class Spans:
         doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         m = max(0, n - window + 1)
         self.at = np.flatnonzero(doc[:m] == doc[window - 1 :]) if m else np.zeros(0, np.int64)  # first words of windows
-        grams = tv.grams_hash(self.h, self.gram)
+        grams = self.grams = tv.grams_hash(self.h, self.gram)
         width = window - self.gram + 1
         low, done = grams, 1
         while done < width:  # smallest gram of each run of so many
@@ -150,9 +148,9 @@ class Spans:
         head, self.windows = head[good], windows[good]
         self.start = self.at[head]
         self.words = self.windows + self.window - 1
-        up, down = tv._powers(tv._WORD_BASE, len(self.h) + 1)
-        c = np.concatenate(([tv.U(0)], np.cumsum(self.h * up[: len(self.h)])))
-        content = tv.mix((c[self.start + self.words] - c[self.start]) * down[self.start] + self.words.astype(np.uint64))
+        # Grams at the start, at the end of the first window and at the end cover the span.
+        g, last = self.grams, self.start + self.words - self.gram
+        content = tv.mix(tv.mix(g[self.start] * tv.U(0xD6E8FEB86659FD93) + g[self.start + self.window - self.gram]) * tv.U(0x9E3779B97F4A7C15) + g[last] + self.words.astype(np.uint64)) if len(head) else np.zeros(0, np.uint64)
         key = np.where(kind[head] == 2, content, self.key[head])
         order = np.lexsort((content, key))
         new = np.ones(len(order), bool)
@@ -164,11 +162,6 @@ class Spans:
         self.times = np.bincount(self.which, minlength=len(self.sample))
 
 
-def _words(h: np.ndarray) -> np.ndarray:
-    """The last WORD bytes of each hash."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD])
-
-
 def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), prefix: str = "", verbatim: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words, one blank between) and the columns keep, their names after prefix, one row a row of docs.
 
@@ -213,7 +206,7 @@ def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
         kinds = kinds_of(s, right)
         s.cut(kinds)
         start, words = s.start[s.sample], s.words[s.sample]
-        content = _words(tv.gather(s.h, start, words)) if len(start) else np.zeros((0, WORD), np.uint8)
+        content = tv.gather(s.h, start, words).astype("<u8")
         ends = np.concatenate(([0], np.cumsum(words)))
         times, windows = np.minimum(s.times, 255).astype(np.uint8), s.windows[s.sample].astype(np.uint8)
         rows = [(c, k[0].as_py(), s.span_keys[a:b].tobytes(), times[a:b].tobytes(), windows[a:b].tobytes(), content[ends[a] : ends[b]].tobytes()) for c, a, b in cuts(s.span_keys, n)]
@@ -228,9 +221,9 @@ def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
         times, _ = laid(t.column("times"), "u1")
         windows, _ = laid(t.column("windows"), "u1")
         raw = b"".join(t.column("words").to_pylist())
-        ends = np.cumsum((windows.astype(np.int64) + window - 1) * WORD)
+        ends = np.cumsum((windows.astype(np.int64) + window - 1) * 8)
         order = np.argsort(keys, kind="stable")
-        starts = (ends - (windows.astype(np.int64) + window - 1) * WORD).tolist()
+        starts = (ends - (windows.astype(np.int64) + window - 1) * 8).tolist()
         ends = ends.tolist()
         edge = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1], [True]))).tolist()
         bits = np.zeros(len(keys), np.uint64)
@@ -241,9 +234,7 @@ def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
             machine = SuffixAutomaton()
             strings = []
             for content, many, _ in held:
-                wide = np.zeros((len(content) // WORD, 8), np.uint8)
-                wide[:, :WORD] = np.frombuffer(content, np.uint8).reshape(-1, WORD)
-                strings.append(wide.reshape(-1).view("<u8").tolist())
+                strings.append(np.frombuffer(content, "<u8").tolist())
                 machine.add(strings[-1], many)
             machine.close()
             for string, (*_, members) in zip(strings, held):
@@ -260,7 +251,7 @@ def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
                 continue
             for content, members in group.items():
                 held.append((content, int(times[members].sum()), members))
-                size += len(content) // WORD
+                size += len(content) // 8
             if size > AUTOMATON:
                 stream()
                 held, size = [], 0

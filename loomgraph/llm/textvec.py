@@ -5,14 +5,20 @@ UTF-8 buffer of an Arrow column as one numpy byte array and find words, word
 hashes and k-gram hashes with array operations.  No Python string is made for
 a word.
 
-Hashes are polynomial in the ring of 64-bit integers and finished with a
-mixer; two different words or grams get the same hash with a probability of
-about 2**-57 a pair.
+A word's hash mixes its bytes in eight at a time, a gram's hash mixes those of
+its halves; after each step a bijective finisher spreads every bit, so that no
+arithmetic relation between inputs survives (sums of powers have such
+relations: strings of the Thue-Morse form are equal under any base).  Words of
+one length up to eight bytes never share a hash, other pairs do with a
+probability of about 2**-64.  The constants are public, so an author who knows
+them can make two words that collide; where a wrong match would change an
+output, the callers compare bytes.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,59 +32,55 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_SALT = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5
+_SEED, _STEP, _LEFT = U(0x243F6A8885A308D3), U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: Bytes of a word from which on its hash is a digest's.
+LONG = 128
+#: The last 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], U)
 _LIBC = None
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    got = _POWERS.get(base)
-    if got is None or len(got[0]) < n:
-        n = max(1 << 16, n + n // 4)
-        made = []
-        for b in (base, pow(base, -1, 2**64)):
-            a = np.ones(n, U)
-            done = 1
-            while done < n:  # doubles what is known
-                step = U(pow(b, done, 2**64))
-                m = min(done, n - done)
-                a[done : done + m] = a[:m] * step
-                done += m
-            made.append(a)
-        got = _POWERS[base] = (made[0], made[1])
-    return got[0][:n], got[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finisher that spreads every bit of x."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[starts[i]:ends[i]] (bytes)."""
     if not len(starts):
         return np.zeros(0, U)
-    up, down = _powers(_BYTE_BASE, len(data) + 1)
-    c = np.empty(len(data) + 1, U)
-    c[0] = 0
-    np.cumsum(_SALT[data] * up[: len(data)], out=c[1:])
-    return mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(U))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # the eight bytes from each place on
+    n = ends - starts
+    h = mix((n.astype(U) * _STEP + _SEED) ^ (eight[starts] & _FIRST[np.minimum(n, 8)]))
+    live, done = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(live):
+        left = n[live] - done
+        h[live] = mix((h[live] + _STEP) ^ ((eight[starts[live] + done] & _FIRST[np.minimum(left, 8)]) * _LEFT))
+        live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def grams_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k neighbours of h; the caller drops those that cross documents."""
-    n = len(h) - k + 1
-    if n <= 0:
+    if len(h) < k:
         return np.zeros(0, U)
-    up, down = _powers(_WORD_BASE, len(h) + 1)
-    c = np.empty(len(h) + 1, U)
-    c[0] = 0
-    np.cumsum(h * up[: len(h)], out=c[1:])
-    return mix((c[k:] - c[:-k]) * down[:n] + U(k))
+    g, done = h, 1  # hashes of runs of done; a run is that of its halves, and one more where k is odd
+    for odd in bin(k)[3:]:
+        g = mix(g[: len(g) - done] * _LEFT + g[done:])
+        done *= 2
+        if odd == "1":
+            g = mix(g[:-1] * _STEP + h[done : done + len(g) - 1])
+            done += 1
+    return mix(g + U(k))
 
 
 def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

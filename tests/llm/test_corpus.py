@@ -123,6 +123,18 @@ def test_repeated_passages(docs, rows, empty, monkeypatch, window, frequent):
     assert substrings.marked(empty, window).count() == 0
 
 
+def test_passages_of_equal_power_sums_stay(spark):
+    flips = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = "".join("ab"[x] for x in flips), "".join("ba"[x] for x in flips)
+    pad = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, f"{a} " + " ".join(f"x{i}" for i in range(40))), (2, f"{b} " + " ".join(f"y{i}" for i in range(40))), (3, " ".join([a] * 40)), (4, " ".join([b] * 20)), (5, " ".join("ab"[x] for x in flips[:1024])), (6, pad), (7, f"{pad} z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = substrings.marked(df).withColumn("h", F.sha2(F.col("kept").cast("binary"), 256))
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["h"]) for r in made.collect())
+    assert got == windows_removed(rows, 35) and {i: n for i, _, n, _ in got}[1] == 0 and {i: n for i, _, n, _ in got}[4] == 0
+    assert {r["doc_id"]: r["component_id"] for r in neardup.groups(df).collect()} == linked(rows, 85)
+
+
 def test_untouched_texts_stay(docs, rows):
     made = substrings.marked(docs, keep=("lang", "kept"), prefix="own_", verbatim=True)
     got = Counter((r["doc_id"], r["kept"], r["own_lang"], r["own_kept"]) for r in made.where("n_removed = 0").collect())

@@ -32,7 +32,7 @@ def encode_all(texts):
 
     e, out = bpe.encoder(RANKS), []
     for _, data, offsets in tv.pieces([pa.RecordBatch.from_pydict({"text": texts})], limit=500):
-        ids, at = e.batch(data, offsets)
+        ids, at, *_ = e.batch(data, offsets)
         out += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
     return out
 
@@ -51,6 +51,48 @@ def test_bpe_of_long_runs(theirs):
     assert encode_all(texts) == [theirs.encode_ordinary(t) for t in texts]
 
 
+def thue_morse(n):
+    """Two different strings whose sums of powers are equal modulo 2**64 for every base, if n is 1,024 or more."""
+    flips = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in flips), "".join("ba"[x] for x in flips)
+
+
+@pytest.mark.parametrize("n", [64, 128, 1024, 2048])
+def test_words_of_equal_power_sums_stay_apart(theirs, n):
+    a, b = thue_morse(n)
+    assert encode_all([f"{a} {b}", b, a]) == [theirs.encode_ordinary(t) for t in (f"{a} {b}", b, a)]
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    one, two = tv.spans_hash(data, np.array([0, n]), np.array([n, 2 * n]))
+    assert one != two
+    h = np.where(data == 97, tv.U(12345), tv.U(2**63 + 987))
+    assert len(set(tv.grams_hash(h, n)[[0, n]].tolist())) == 2
+
+
+def test_colliding_hashes_change_nothing(theirs, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tv, "spans_hash", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    text = "abc abd xyz <|endoftext|> q r"
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    assert bpe.Encoder(bpe.encoder(RANKS).v).batch(data, offsets)[0].tolist() == theirs.encode_ordinary(text)
+    assert packing.Chunks(WORDS).batch(data, offsets)[0].tolist() == Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    for text in ("hello <|endoftext|> x", "a<|startoftext|>b<|endoftext|>", "<|endoftext|", "< |endoftext|>"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert packing.chunks(WORDS).batch(data, np.array([0, len(data)]))[0].tolist() == Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+
+
+@given(st.text(st.sampled_from(list("abcnr té")), min_size=2, max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_a_tree_of_its_own_gives_the_same(text):
+    v, data = bpe.encoder(RANKS).v, np.frombuffer(text.encode(), np.uint8)
+    assert v._encode_one(data).tolist() == v.encode(data, np.array([0]), np.array([len(data)]))[0].tolist()
+
+
 def test_bpe_digests(spark, docs, rows, empty, theirs):
     want = Counter()
     for i, t, _ in rows:
@@ -166,7 +208,6 @@ def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     want = Counter()
     for i, text, _ in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
