@@ -4,8 +4,9 @@ Some operators must know of each of the corpus's many keys (n-grams) how often
 it occurs anywhere.  A row for each would be dear, so documents are dealt to
 blocks and keys to slices, and what a block has to tell a slice travels as one
 row with packed arrays; the slice answers with an array in the same order.
-Both numbers are small multiples of the cluster's shuffle width.  A key that is in a third
-of all documents comes once from each block.
+A block or slice has a bounded number of bytes of text, whatever the corpus;
+small corpora get as many as fill the cluster's shuffle width.  A key that is
+in a third of all documents comes once from each block.
 """
 
 from __future__ import annotations
@@ -21,31 +22,38 @@ from . import textvec as tv
 from .runtime import partitions
 
 
-#: Shuffle widths up to which blocks and slices get labels that spread evenly; among more of them chance does as well.
-EVEN = 4096
+#: Labels up to which blocks and slices spread evenly over the shuffle's partitions; among more of them chance does as well.
+EVEN = 16_384
+#: Bytes of text of a block of documents, and those whose keys fall into one slice, on average.
+BLOCK, SLICE = 8 << 20, 12 << 20
 
 
-def labels(df: DataFrame, each: int) -> np.ndarray:
-    """Labels of blocks or slices, each times the shuffle width, such that as many fall into every partition."""
+def size_of(docs: DataFrame, text: str) -> int:
+    """Bytes of all texts."""
+    return int(docs.agg(F.sum(F.octet_length(docs[text]))).first()[0] or 0)
+
+
+def labels(df: DataFrame, n: int) -> np.ndarray:
+    """n labels of blocks or slices such that about as many fall into every partition of a shuffle."""
     width = partitions(df.sparkSession)
-    n = each * width
-    if width > EVEN:
+    if n > EVEN:
         return np.arange(n, dtype=np.int32)
-    some = df.sparkSession.range(24 * n).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(width)).alias("p"))
+    each = -(-n // width)
+    some = df.sparkSession.range(24 * each * width).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(width)).alias("p"))
     lanes: dict[int, list[int]] = {}
-    for k, p in some.collect():
+    for k, p in some.collect():  # a few times n rows
         lanes.setdefault(p, []).append(k)
     if any(len(lanes.get(p, ())) < each for p in range(width)):
         return np.arange(n, dtype=np.int32)
     return np.array([lanes[i % width][i // width] for i in range(n)], np.int32)
 
 
-def blocks(df: DataFrame) -> np.ndarray:
-    return labels(df, 4)
+def blocks(df: DataFrame, size: int) -> np.ndarray:
+    return labels(df, max(4 * partitions(df.sparkSession), -(-size // BLOCK)))
 
 
-def slices(df: DataFrame) -> np.ndarray:
-    return labels(df, 1)
+def slices(df: DataFrame, size: int) -> np.ndarray:
+    return labels(df, max(partitions(df.sparkSession), -(-size // SLICE)))
 
 
 def places(names: np.ndarray, column: pa.ChunkedArray) -> np.ndarray:
@@ -56,11 +64,11 @@ def places(names: np.ndarray, column: pa.ChunkedArray) -> np.ndarray:
     return np.where(names[order][at] == values, order[at], -1)
 
 
-def dealt(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """block, doc_id, text and the columns keep; rows are dealt by a hash of id and text's length, so repeated rows meet, but hardly more."""
-    names = blocks(docs)
-    number = F.pmod(F.xxhash64(docs[key], F.length(docs[text])), F.lit(len(names))).cast("int")
-    block = F.element_at(F.array(*[F.lit(int(x)) for x in names]), number + 1) if len(names) <= 4 * EVEN else number
+def dealt(docs: DataFrame, key: str, text: str, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """block, doc_id, text and the columns keep; rows are dealt by a hash of id and text, so only rows that repeat in full meet."""
+    names = blocks(docs, size)
+    number = F.pmod(F.xxhash64(docs[key], docs[text]), F.lit(len(names))).cast("int")
+    block = F.element_at(F.array(*[F.lit(int(x)) for x in names]), number + 1) if len(names) <= EVEN else number
     others = [docs[c].alias(f"keep_{c}") for c in keep]
     return docs.select(block.alias("block"), docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), *others)
 

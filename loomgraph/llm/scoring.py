@@ -1,23 +1,28 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds, for each n-gram of the training texts, its count on a
-logarithmic scale: an n-gram of level L is entered L times, as (n-gram, 1) to
-(n-gram, L).  Reading it asks for level 1, 2, ... until the answer is no, so
-an error can only overstate, and each further level of it is as unlikely again.
-The probability of a word after another interpolates the filter's relative
-frequency with the smoothed frequency of the word alone.
-
-The filter is built in slices of the key space, each as large as its n-grams
-need.  If all slices together are small enough they are broadcast and blocks of
-documents probe them on the spot; a filter of a larger corpus stays in slices,
-and the blocks send their distinct n-grams there instead.  Both read the same
-bits and give the same scores.
+The filter holds, for each word, pair and triple of the training texts, its
+count on a logarithmic scale: an n-gram of level L is entered L times, as
+(n-gram, 1) to (n-gram, L).  Reading it asks for level 1, 2, ... until the
+answer is no, so an error can only overstate, and each further level of it is
+as unlikely again.  All counts of the model are read that way.  A word's
+probability after its two predecessors is the triple's count, smoothed by a
+prior of MASS occurrences spread as the pair's probability says, which is
+smoothed by the word's alone in the same way.
+
+The filter is built in slices of the key space, as many as the bytes of text
+require, so a slice holds a bounded number of n-grams and scores depend on the
+tables only.  A slice tells n-grams apart by 40 bits of their hash (on top of
+those that choose the slice): a wrong match has a probability of about 5e-6 a
+reading, at any size of the corpus, against 8e-3 of the filter itself.  The
+filter of a small corpus is broadcast, and blocks of documents probe it on the
+spot.  That of a larger one stays in slices: a block sends its distinct n-grams
+with their counts once, the slice builds its part of the filter from what all
+blocks sent, probes it, and sends the levels back.  Both read the same bits.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +30,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .blocks import cuts, dealt, hashed, laid, places, slice_of, slices
+from .blocks import SLICE, cuts, dealt, hashed, labels, places, size_of, slice_of
 from .runtime import checkpointed, table
 
 #: Ratio of neighbouring levels, hash functions, and bits for each entry (a false answer in about 1 of 120).
 RATIO, PROBES, BITS = 1.5, 7, 10
-#: Weight of the pair's relative frequency against the word's own.
-WEIGHT = 0.5
-#: Bytes up to which the filter is broadcast.
-BROADCAST = 96 << 20
-#: Tokens that a task counts before it passes the counts on.
-TOKENS = 2_000_000
+#: Occurrences that the lower order's probability counts for.
+MASS = 4.0
+#: Bytes of text up to which the filter is broadcast. Each byte gives at most 1.5 entries of BITS bits: at most 120 MB.
+BROADCAST = 64 << 20
 END, START = tv.U(0x9D5C1B7E3A4F6081), tv.U(0x1F83D9ABFB41BD6B)
-KEY = tv.U((1 << 32) - 1)
+#: Bytes of an n-gram's key inside its slice.
+WIDTH = 5
+KEY = tv.U((1 << 8 * WIDTH) - 1)
+GRAM = tv.U(1 << 8 * WIDTH)  # sets keys of pairs and triples apart from words in the filter
 
 LEVELS = np.array([0.0, *(0.5 * (math.ceil(RATIO ** (i - 1)) + max(math.ceil(RATIO ** (i - 1)), math.ceil(RATIO**i) - 1)) for i in range(1, 110))])
 
@@ -48,7 +54,7 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 def _hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and stride (odd) of the probes for (key, level)."""
-    x = tv.mix((keys & KEY) * tv.U(0x9E3779B97F4A7C15) + tv.U(level))
+    x = tv.mix(keys * tv.U(0x9E3779B97F4A7C15) + tv.U(level))
     return x >> tv.U(32), (x & tv.U(0xFFFFFFFF)) | tv.U(1)
 
 
@@ -57,10 +63,10 @@ def _place(a: np.ndarray, b: np.ndarray, probe: int, size: np.ndarray) -> np.nda
     return (((a + tv.U(probe) * b) & tv.U(0xFFFFFFFF)) * size >> tv.U(32)).astype(np.int64)
 
 
-def built(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """A filter of these distinct keys."""
+def built(keys: np.ndarray, counts: np.ndarray, each: int = BITS) -> bytes:
+    """A filter of these distinct keys; counts are 1 or more."""
     level = levels_of(counts)
-    size = max(64, -(-int(level.sum()) * BITS // 8) * 8)
+    size = max(64, -(-int(level.sum()) * each // 8) * 8)
     bits = np.zeros(size, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
         a, b = _hashes(keys[level >= j], j)
@@ -84,12 +90,12 @@ class Filter:
     """Joined slices, or one, ready for probes; holds no copy of the bytes."""
 
     def __init__(self, size: np.ndarray, base: np.ndarray, raw: bytes):
-        self.n, self.size, self.base, self.bytes = len(size), size, base, np.frombuffer(raw, np.uint8)
+        self.size, self.base, self.bytes = size, base, np.frombuffer(raw, np.uint8)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level that each key has, 0 if it isn't there."""
+    def levels(self, keys: np.ndarray, where: np.ndarray | None = None) -> np.ndarray:
+        """The level that each key has in the slice where (the first one, if not given), 0 if it isn't there."""
         out = np.zeros(len(keys), np.uint8)
-        where = slice_of(keys, self.n)
+        where = np.zeros(len(keys), np.int64) if where is None else where
         left, level = np.arange(len(keys)), 1
         while len(left) and level < len(LEVELS):
             size, base = self.size[where[left]], self.base[where[left]]
@@ -109,159 +115,153 @@ def trained(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2
 
 
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return tv.mix(a * tv.U(0xC2B2AE3D27D4EB4F) + b)
-
-
-def tokens(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words and ends, what each follows, and where each document's begin (len + 1)."""
-    word = np.insert(h, first[1:], END)
-    at = first + np.arange(len(first))
-    before = np.empty(len(word), np.uint64)
-    before[1:] = word[:-1]
-    before[at[:-1]] = START
-    return word, before, at
-
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sum of each one's counts."""
+def distinct(keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct keys in order, the place of each key there, and the sums of the weights."""
     if not len(keys):
-        return keys, counts.astype(np.int64)
+        return keys, np.zeros(0, np.int64), None if weight is None else weight.astype(np.int64)
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
-
+    own = keys[order]
+    new = np.concatenate(([True], own[1:] != own[:-1]))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return own[first], place, None if weight is None else np.add.reduceat(weight[order].astype(np.int64), first)
 
-def _short(keys: np.ndarray) -> bytes:
-    """The last 32 bits of each key; the slice implies the first ones."""
-    return keys.astype("<u4").tobytes()
 
+def pair(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+    return tv.mix(a * tv.U(0xC2B2AE3D27D4EB4F) + b + tv.U(order))
 
-def _long(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u4").astype(np.uint64)
 
+class Tokens:
+    """Words and ends of a block's texts, and their pairs and triples. teaches: of each text, whether its counts count."""
 
-def learn(docs: DataFrame, n: np.ndarray, text: str = "text") -> DataFrame:
-    """slice, words and counts (exact, of each word), filter (of words and pairs), one row a slice that has any; docs all teach."""
-    told = pa.schema([("slice", pa.int32()), ("pairs", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
+    def __init__(self, h: np.ndarray, first: np.ndarray, n: int):
+        self.word = np.insert(h, first[1:], END)
+        self.at = first + np.arange(len(first))  # where each text's begin (len + 1)
+        self.head = self.at[:-1]
+        before = np.empty(len(self.word), np.uint64)
+        before[1:] = self.word[:-1]
+        before[self.head] = START
+        pairs = pair(before, self.word, 2)
+        triples = np.empty(len(self.word), np.uint64)
+        triples[1:] = pair(pairs[:-1], self.word[1:], 3)
+        triples[self.head] = START  # a text's first token has none; this stands for the start itself
+        self.grams = np.concatenate([pairs, triples])
+        self.grams = (slice_of(self.grams, n).astype(np.uint64) << tv.U(8 * WIDTH)) | (self.grams & KEY)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, held = [], [], 0
+    def weights(self, teaches: np.ndarray) -> np.ndarray:
+        return np.repeat(teaches.astype(np.int64), np.diff(self.at))
 
-        def out() -> pa.RecordBatch:
-            rows = []
-            for kind, parts in ((False, words), (True, pairs)):
-                keys, counts = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-                counts = counts.astype("<u8")
-                rows += [(s, kind, _short(keys[a:b]) if kind else keys[a:b].tobytes(), counts[a:b].tobytes()) for s, a, b in cuts(keys, n)]
-            words.clear(), pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), told)], schema=told)
 
-        for _, data, offsets in tv.pieces(batches, "text"):
-            h, first = tv.word_hashes(data, offsets, lower=True)
-            word, before, at = tokens(h, first)
-            words.append(np.unique(word, return_counts=True))
-            pairs.append(np.unique(pair(before, word), return_counts=True))
-            pairs.append((np.array([START]), np.array([len(at) - 1])))
-            held += len(word)
-            if held > TOKENS:
-                yield out()
-                held = 0
-        if words:
-            yield out()
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of all values, then the next ones: sorted or small values give long runs, which Spark's compression takes."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-    made = pa.schema([("slice", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("filter", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 
-    def build(k: tuple, t: pa.Table) -> pa.Table:
-        kind = np.array(t.column("pairs").to_pylist())
-        keys, counts = t.column("keys").to_pylist(), t.column("counts").to_pylist()
-        take = lambda column, which: b"".join(column[i] for i in np.flatnonzero(kind == which).tolist())
-        words, n_words = summed(np.frombuffer(take(keys, False), "<u8"), np.frombuffer(take(counts, False), "<u8"))
-        pairs, n_pairs = summed(_long(take(keys, True)), np.frombuffer(take(counts, True), "<u8"))
-        filter_ = built(*summed(np.concatenate([words & KEY, pairs]), np.concatenate([n_words, n_pairs])))
-        row = (k[0].as_py(), words.tobytes(), n_words.astype("<u8").tobytes(), filter_, int(n_words.sum()), len(words))
-        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, made)], schema=made)
+def unplaned(raw: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of several planes() end to end, and the number of each."""
+    n = np.array([len(r) // width for r in raw], np.int64)
+    out = np.zeros((int(n.sum()), 8), np.uint8)
+    at = 0
+    for r, m in zip(raw, n.tolist()):
+        out[at : at + m, :width] = np.frombuffer(r, np.uint8).reshape(width, m).T
+        at += m
+    return out.reshape(-1).view("<u8"), n
 
-    counted = docs.select(docs[text].alias("text")).mapInArrow(count, "slice int, pairs boolean, keys binary, counts binary")
-    return counted.groupBy("slice").applyInArrow(build, "slice int, words binary, counts binary, filter binary, n long, v long")
 
-
-def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast: int = BROADCAST) -> DataFrame:
+def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast: int = BROADCAST, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row a row of docs.
 
     Learns from the documents that are not held out.  Words are lower-cased in
     A-Z; each document ends with one more token.  Null and empty texts are that
     token alone.  Repeated rows count and are scored each; other columns are
     left out.  Without training documents all base scores are 0 (each token has
-    probability 1 / 1).
+    probability 1 / 1).  Counts for the base score are exact.
     """
-    n = slices(docs)
-    teach = docs.where(trained(docs[key]))
-    model = checkpointed(learn(teach, n, text))
-    size, total, distinct = (int(x or 0) for x in model.agg(F.sum(F.octet_length("filter")), F.sum("n"), F.sum("v")).first())
-    shared, number = None, {x: i for i, x in enumerate(n.tolist())}
-    if size <= broadcast:
-        shared = docs.sparkSession.sparkContext.broadcast(joined({number[r[0]]: bytes(r[1]) for r in model.select("slice", "filter").toLocalIterator()}, len(n)))
-    own = dealt(docs, key, text).withColumn("held_out", ~trained(F.col("doc_id")))
-    asked = pa.schema([("slice", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("grams", pa.binary())])
-    told = pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary()), ("levels", pa.binary())])
-
-    def parts(t: pa.Table):
-        word, before, at = tokens(*hashed(t, lower=True))
-        words, which = np.unique(word, return_inverse=True)
-        return word, before, at, words, which
-
-    def grams(before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs and contexts, and for both of each token the place there."""
-        return np.unique(np.concatenate([pair(before, word), before]), return_inverse=True)
-
-    def ask(k: tuple, t: pa.Table) -> pa.Table:
-        word, before, _, words, _ = parts(t)
-        rows = {s: [s, k[0].as_py(), words[a:b].tobytes(), b""] for s, a, b in cuts(words, n)}
-        if shared is None:
-            keys = grams(before, word)[0]
-            for s, a, b in cuts(keys, n):
-                rows.setdefault(s, [s, k[0].as_py(), b"", b""])[3] = _short(keys[a:b])
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows.values()), asked)], schema=asked)
-
-    def answer(k: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return told.empty_table()
-        keys, lengths = laid(left.column("words"), "<u8")
-        counts, levels = np.zeros(len(keys), "<u8"), np.zeros(0, np.uint8)
-        if right.num_rows:
-            words, have = np.frombuffer(right.column("words")[0].as_py(), "<u8"), np.frombuffer(right.column("counts")[0].as_py(), "<u8")
-            if len(words):
-                at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
-                counts = np.where(words[at] == keys, have[at], 0).astype("<u8")
-        raw = left.column("grams").to_pylist()
-        level_n = np.array([len(x) // 4 for x in raw], np.int64)
-        if level_n.sum():
-            short = _long(b"".join(raw))
-            levels = np.zeros(len(short), np.uint8)
-            if right.num_rows:
-                levels = Filter(*joined({0: right.column("filter")[0].as_py()}, 1)).levels(short)
-        counts, ends = counts.tobytes(), np.cumsum(lengths).tolist()
-        levels, level_ends = levels.tobytes(), np.cumsum(level_n).tolist()
-        return pa.Table.from_arrays([left.column("block"), left.column("slice"), pa.array([counts[8 * (b - a) : 8 * b] for a, b in zip(lengths.tolist(), ends)], pa.binary()), pa.array([levels[b - a : b] for a, b in zip(level_n.tolist(), level_ends)], pa.binary())], schema=told)
+    size = size_of(docs, text)
+    small = size <= broadcast
+    n = labels(docs, max(1, -(-size // SLICE)))
+    number = {x: i for i, x in enumerate(n.tolist())}
+    own = dealt(docs, key, text, size).withColumn("held_out", ~trained(F.col("doc_id")))
+    told = pa.schema([("slice", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("words", "word_counts", "grams", "gram_counts"))])
+    model = pa.schema([("block", pa.int32()), ("slice", pa.int32()), *((c, pa.binary()) for c in ("counts", "word_levels", "gram_levels", "filter")), ("n", pa.int64()), ("v", pa.int64())])
+    sql = lambda s: ", ".join(f"{f.name} {({pa.int32(): 'int', pa.int64(): 'long'}).get(f.type, 'binary')}" for f in s)
+    rows_of = lambda rows, s: pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [()] * len(s), s)], schema=s)
+
+    def parts(t: pa.Table) -> Tokens:
+        return Tokens(*hashed(t, lower=True), len(n))
+
+    def tell(k: tuple, t: pa.Table) -> pa.Table:
+        x, block = parts(t), k[0].as_py()
+        weight = x.weights(~t.column("held_out").to_numpy())
+        words, _, counts = distinct(x.word, weight)
+        rows = {s: [s, block, planes(words[a:b], 8), planes(counts[a:b], 4), b"", b""] for s, a, b in cuts(words, n)}
+        grams, _, counts = distinct(x.grams, np.concatenate([weight, weight]))
+        edge = np.searchsorted(grams, np.arange(len(n) + 1, dtype=np.uint64) << tv.U(8 * WIDTH)).tolist()
+        for s, a, b in zip(n.tolist(), edge, edge[1:]):
+            if a < b:
+                rows.setdefault(s, [s, block, b"", b"", b"", b""])[4:] = planes(grams[a:b], WIDTH), planes(counts[a:b], 4)
+        return rows_of(list(rows.values()), told)
+
+    def build(k: tuple, t: pa.Table) -> pa.Table:
+        """The slice's part of the filter, and what it says about each block's n-grams."""
+        column = lambda c: t.column(c).to_pylist()
+        blocks, slice_ = column("block"), k[0].as_py()
+        words, n_words = unplaned(column("words"), 8)
+        words, word_place, counts = distinct(words, unplaned(column("word_counts"), 4)[0])
+        grams, n_grams = unplaned(column("grams"), WIDTH)
+        grams, gram_place, gram_counts = distinct(grams | GRAM, unplaned(column("gram_counts"), 4)[0])
+        known, seen = counts > 0, gram_counts > 0
+        raw = built(np.concatenate([words[known], grams[seen]]), np.concatenate([counts[known], gram_counts[seen]]), bits)
+        told_words, told_grams = counts[word_place], b""
+        word_levels = b""
+        if not small:
+            read = Filter(*joined({0: raw}, 1))
+            word_levels, told_grams = read.levels(words)[word_place].tobytes(), read.levels(grams)[gram_place].tobytes()
+        a, b = np.concatenate(([0], np.cumsum(n_words))).tolist(), np.concatenate(([0], np.cumsum(n_grams))).tolist()
+        rows = [(block, slice_, planes(told_words[a[i] : a[i + 1]], 8), word_levels[a[i] : a[i + 1]], told_grams[b[i] : b[i + 1]], b"", 0, 0) for i, block in enumerate(blocks)]
+        rows.append((-1, slice_, b"", b"", b"", raw if small else b"", int(counts.sum()), int(known.sum())))
+        return rows_of(rows, model)
+
+    replies = checkpointed(own.groupBy("block").applyInArrow(tell, sql(told)).groupBy("slice").applyInArrow(build, sql(model)))
+    total, vocabulary = (int(x or 0) for x in replies.where("block = -1").agg(F.sum("n"), F.sum("v")).first())
+    shared = None
+    if small:
+        shared = docs.sparkSession.sparkContext.broadcast(joined({number[r[0]]: bytes(r[1]) for r in replies.where("block = -1").select("slice", "filter").toLocalIterator()}, len(n)))
 
     def score(k: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        word, before, at, words, which = parts(left)
-        order = np.argsort(places(n, right.column("slice")))
-        c = laid(right.column("counts"), "<u8", order)[0].astype(np.float64)[which]
-        alone = (c + 1) / (total + distinct + 1)
-        keys, place = grams(before, word)
-        level = Filter(*shared.value).levels(keys) if shared is not None else laid(right.column("levels"), "u1", order)[0]
-        got = LEVELS[level][place]
-        both, context = got[: len(word)], got[len(word) :]
-        follows = np.where(context > 0, WEIGHT * np.minimum(both, context) / np.maximum(context, 1) + (1 - WEIGHT) * alone, alone)
-        per = lambda x: np.add.reduceat(x, at[:-1])
-        columns = [left.column("doc_id"), left.column("held_out"), np.diff(at), per((c > 0).astype(np.int64)), np.full(left.num_rows, total), per(np.log10(alone)), per(np.log10(follows))]
-        return pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    replies = own.groupBy("block").applyInArrow(ask, "slice int, block int, words binary, grams binary").groupBy("slice").cogroup(model.groupBy("slice")).applyInArrow(answer, "block int, slice int, counts binary, levels binary")
-    made = own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        if not left.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
+        x = parts(left)
+        m = len(x.word)
+        order = np.argsort(places(n, right.column("slice"))).tolist()
+        column = lambda c: (lambda raw: [raw[i] for i in order])(right.column(c).to_pylist())
+        words, word_place, _ = distinct(x.word)
+        grams, gram_place, _ = distinct(x.grams)
+        c = unplaned(column("counts"), 8)[0].astype(np.float64)[word_place]
+        if shared is not None:
+            read = Filter(*shared.value)
+            word_levels = read.levels(words, slice_of(words, len(n)))
+            gram_levels = read.levels((grams & KEY) | GRAM, (grams >> tv.U(8 * WIDTH)).astype(np.int64))
+        else:
+            word_levels, gram_levels = (np.frombuffer(b"".join(column(name)), np.uint8) for name in ("word_levels", "gram_levels"))
+        one, grams = LEVELS[word_levels[word_place]], LEVELS[gram_levels[gram_place]]
+        two, three = grams[:m], grams[m:]
+        after_one, after_two = np.empty(m), np.empty(m)
+        after_one[1:], after_two[1:] = one[:-1], two[:-1]
+        after_one[x.head] = three[x.head]  # how many texts start
+        alone = (c + 1) / (total + vocabulary + 1)
+        p = (one + 1) / (total + vocabulary + 1)
+        p = (np.minimum(two, after_one) + MASS * p) / (after_one + MASS)
+        q = (np.minimum(three, after_two) + MASS * p) / (after_two + MASS)
+        q[x.head] = p[x.head]
+        per = lambda v: np.add.reduceat(v, x.head)
+        columns = [left.column("doc_id"), left.column("held_out"), np.diff(x.at), per((c > 0).astype(np.int64)), np.full(left.num_rows, total), per(np.log10(alone)), per(np.log10(q))]
+        return pa.Table.from_arrays([v if isinstance(v, pa.ChunkedArray) else pa.array(v) for v in columns], names=names)
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
+    made = own.groupBy("block").cogroup(replies.where("block >= 0").drop("filter", "n", "v").groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return made.withColumnRenamed("doc_id", key)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .blocks import cuts, dealt, hashed, laid, places, slices
+from .blocks import cuts, dealt, hashed, laid, places, size_of, slices
 from .runtime import table
 
 #: Words in a window.
@@ -175,8 +175,9 @@ def marked(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
     """
     if not 2 <= window <= 62:
         raise ValueError("a window has from 2 to 62 words")
-    n = slices(docs)
-    own = dealt(docs, key, text, keep)
+    size = size_of(docs, text)
+    n = slices(docs, size)
+    own = dealt(docs, key, text, size, keep)
     told = pa.schema([("slice", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
     answer = pa.schema([("block", pa.int32()), ("slice", pa.int32()), ("kinds", pa.binary())])
     sent = pa.schema([("slice", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("times", pa.binary()), ("windows", pa.binary()), ("words", pa.binary())])
