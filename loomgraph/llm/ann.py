@@ -19,6 +19,7 @@ all blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from .vectors import Found, best, finite, search
 
 #: Tables, projections of each, width of an interval in units of the largest norm, and share of the vectors that a query sees in each table.
 TABLES, PROJECTIONS, WIDTH, SHARE = 3, 8, 1.5, 0.32
-#: Vectors that a query sees in each table at least.
-LEAST = 1_000
+#: Queries whose products with a block are computed at once.
+AT_ONCE = 64
 
 
 class Index:
@@ -67,7 +68,7 @@ class Index:
                 off = np.maximum(np.maximum(under, -under - self.width), 0)
                 order = np.argsort(np.einsum("ij,ij->i", off, off), kind="stable")
                 seen = np.cumsum(counts[order])
-                own = order[: int(np.searchsorted(seen, max(LEAST, share * len(self.ids)))) + 1]
+                own = order[: int(np.searchsorted(seen, share * len(self.ids))) + 1]
                 hit[tv.gather(rows, first[own], counts[own])] = True
             yield np.flatnonzero(hit)
 
@@ -77,9 +78,12 @@ def nearest(rows: DataFrame, is_query, k: int, tables: int = TABLES, projections
 
     rows has vec_id and embedding.  Vectors that are null, zero or empty, or
     hold null or non-finite components, and rows without an id, take no part.
-    Rows that repeat count once; rows of one id are never each other's
-    results.  If a block has fewer candidates than k, all its rows are looked
-    at.  An empty table gives an empty result.
+    Rows that repeat in full are one row, as query and as candidate.  Rows of
+    one id with different vectors are each a query of its own (their lists have
+    the same query_id), and never each other's results.  Scores add the
+    products up in one order for every row, so equal vectors have equal scores;
+    ties go to the smaller id.  If a block has fewer candidates than k, all its
+    rows are looked at.  An empty table gives an empty result.
     """
     whole = rows.where(finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
 
@@ -90,20 +94,27 @@ def nearest(rows: DataFrame, is_query, k: int, tables: int = TABLES, projections
 
         def ask(query_ids: np.ndarray, queries: np.ndarray) -> Found:
             chosen = [x.search(queries, share) for x in indexes]
-            for i, q in enumerate(queries):
-                found, scores = [], []
-                for x, own in zip(indexes, chosen):
-                    at = next(own)
-                    at = at[x.ids[at] != query_ids[i]]
-                    if len(at) < k:
-                        at = np.flatnonzero(x.ids != query_ids[i])
-                    got = x.vectors[at] @ q
-                    top = best(got, x.ids[at], k)
-                    found.append(x.ids[at][top])
-                    scores.append(got[top])
-                found, scores = np.concatenate(found), np.concatenate(scores)
-                top = best(scores, found, k)
-                yield np.full(len(top), i), found[top], scores[top]
+            for start in range(0, len(queries), AT_ONCE):
+                some = queries[start : start + AT_ONCE]
+                rough = [some @ x.vectors.T for x in indexes]
+                for i, q in enumerate(some, start):
+                    found, scores = [], []
+                    for x, own, products in zip(indexes, chosen, rough):
+                        at = next(own)
+                        at = at[x.ids[at] != query_ids[i]]
+                        if len(at) < k:
+                            at = np.flatnonzero(x.ids != query_ids[i])
+                        got = products[i - start][at]
+                        if len(got) > k:  # with room for rounding; what is left is summed in one order
+                            edge = np.partition(got, len(got) - k)[len(got) - k]
+                            at = at[got >= edge - 1e-9 * max(abs(edge), x.scale * math.sqrt(float(q @ q)))]
+                        got = (x.vectors[at] * q).sum(1)
+                        top = best(got, x.ids[at], k)
+                        found.append(x.ids[at][top])
+                        scores.append(got[top])
+                    found, scores = np.concatenate(found), np.concatenate(scores)
+                    top = best(scores, found, k)
+                    yield np.full(len(top), i), found[top], scores[top]
 
         return ask
 

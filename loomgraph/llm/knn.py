@@ -10,6 +10,7 @@ the k-th score carries over to the next shard of the block.
 
 from __future__ import annotations
 
+import copy
 import heapq
 
 import numpy as np
@@ -22,7 +23,7 @@ from .vectors import Found, best, finite, search
 
 #: Vectors in a leaf and in a shard.
 LEAF, SHARD = 128, 4_096
-KIND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+KIND = pa.schema([("query_id", pa.int64()), ("own", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 class Tree:
@@ -49,12 +50,21 @@ class Tree:
                     high.append(None)
             at += 1
         self.low, self.high = np.array(low), np.array(high)
+        self._exact: Tree | None = None
         self.ids, self.vectors = ids[order], vectors[order]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """For each query and node, no less than any inner product in the node's box."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
+    def exact(self) -> Tree:
+        """The same tree with integers of any size."""
+        if self._exact is None:
+            self._exact = copy.copy(self)
+            for name in ("low", "high", "vectors"):
+                setattr(self._exact, name, whole_numbers(getattr(self, name)))
+        return self._exact
+
     def search(self, query: np.ndarray, own: int, bound: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best of (ids, scores) and the tree."""
         heap = [(-bound[0], 0)]
@@ -70,9 +80,11 @@ class Tree:
                 continue
             rows = slice(self.first[node], self.last[node])
             got = self.vectors[rows] @ query
+            if got.dtype == object:
+                got = np.array([min(max(x, -(2**63)), 2**63 - 1) for x in got.tolist()], object)
             good = self.ids[rows] != own
             if len(scores) == k:
-                good &= got >= scores[-1]
+                good &= (got >= scores[-1]).astype(bool)
             if good.any():
                 ids, scores = np.concatenate([ids, self.ids[rows][good]]), np.concatenate([scores, got[good]])
                 top = best(scores, ids, k) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k])
@@ -80,35 +92,49 @@ class Tree:
         return ids, scores
 
 
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """Doubles that are integers as integers of any size."""
+    out = np.empty(x.shape, object)
+    out.flat = [int(c) for c in x.reshape(-1).tolist()]
+    return out
+
+
 def top_k(rows: DataFrame, is_query, k: int, scale: int = 1024) -> DataFrame:
     """Each query's k rows with the largest integer inner product: query_id, rank, vec_id, score.
 
     rows has vec_id and embedding.  Components become floor(scale * x), x as a
-    double.  Vectors that are null or hold null or non-finite components, and
-    rows without an id, take no part; empty vectors score 0 with each other.
-    Rows that repeat count once; rows of one id are never each other's
-    results.  Components too large for exact doubles are computed with exact
-    integers, scores outside the range of long become its ends.  An empty
-    table gives an empty result.
+    double; scale is a power of two, so that this is exact.  Vectors that are
+    null or hold null or non-finite components, or components too large to be
+    scaled, and rows without an id, take no part; empty vectors score 0 with
+    each other.  Rows that repeat in full are one row, as query and as
+    candidate.  Rows of one id with different vectors are each a query of its
+    own (their lists have the same query_id), and never each other's results.
+    Inner products that doubles cannot hold are computed with integers of any
+    size; scores outside the range of long become its ends.  An empty table
+    gives an empty result.
     """
-    whole = rows.where(finite(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
-
-    def integers(x: np.ndarray) -> np.ndarray:
-        x = np.floor(x * scale)
-        return x if not x.size or np.abs(x).max() <= 2**22 and x.shape[1] <= 512 else np.array([[int(c) for c in row] for row in x], object).reshape(x.shape)
+    known = F.col("embedding").cast("array<double>")
+    whole = rows.where(finite(F.col("embedding")) & F.forall(known, lambda x: F.abs(x) < F.lit(2.0**1023 / scale))).select(F.col("vec_id").cast("long").alias("vec_id"), known.alias("vec"))
 
     def prepare(ids: np.ndarray, vectors: np.ndarray):
-        vectors = integers(vectors)
+        vectors = np.floor(vectors * scale)
         trees = [Tree(ids[a : a + SHARD], vectors[a : a + SHARD]) for a in range(0, len(ids), SHARD)]
+        most = np.abs(vectors).max(initial=0)
 
         def ask(query_ids: np.ndarray, queries: np.ndarray) -> Found:
-            queries = integers(queries)
-            bounds = [t.bounds(queries) for t in trees]
+            queries = np.floor(queries * scale)
+            small = np.abs(queries).max(axis=1, initial=0) <= 2**53 / max(most * max(queries.shape[1], 1), 1)  # all sums are exact in doubles
+            bounds = [t.bounds(queries[small]) for t in trees]
+            place = np.cumsum(small) - 1
             for i, query in enumerate(queries):
-                found, scores = np.zeros(0, np.int64), np.zeros(0, np.float64 if query.dtype != object else object)
-                for t, b in zip(trees, bounds):
-                    found, scores = t.search(query, query_ids[i], b[i], found, scores, k)
-                yield np.full(len(found), i), found, np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in scores], np.int64)
+                found, scores = np.zeros(0, np.int64), np.zeros(0, np.float64 if small[i] else object)
+                for j, t in enumerate(trees):
+                    if small[i]:
+                        found, scores = t.search(query, query_ids[i], bounds[j][place[i]], found, scores, k)
+                    else:
+                        q, t = whole_numbers(query), t.exact()
+                        found, scores = t.search(q, query_ids[i], t.bounds(q[None, :])[0], found, scores, k)
+                yield np.full(len(found), i), found, np.array([int(s) for s in scores], np.int64)
 
         return ask
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows and queries that one task holds at most, in expectation.
 ROWS, QUERIES = 32_768, 8_192
 
-RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+RESULT = pa.schema([("query_id", pa.int64()), ("own", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def finite(vector: Column) -> Column:
@@ -30,11 +30,12 @@ def search(rows: DataFrame, is_query: Column, k: int, prepare: Callable[[np.ndar
     """query_id, rank, vec_id, score: each query's k best rows but its own id, ties to the smaller vec_id.
 
     rows has vec_id and vec (array of double); vectors of one length are
-    compared with each other.  A row that repeats in full counts once.  Blocks
-    of rows, dealt by a hash of id and vector, meet blocks of queries;
-    prepare(ids, vectors) indexes a block of rows and returns a function from
-    (query ids, query vectors) to (query numbers, ids, scores) that gives each
-    query's k best of the block.
+    compared with each other.  Rows that repeat in full are one row.  Rows of
+    one id with different vectors are each a query, with a list of its own, and
+    are never each other's results.  Blocks of rows, dealt by a hash of id and
+    vector, meet blocks of queries; prepare(ids, vectors) indexes a block of
+    rows and returns a function from (query ids, query vectors) to (query
+    numbers, ids, scores) that gives each query's k best of the block.
     """
     once = rows.where(F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "vec"]).withColumn("dim", F.size("vec"))
     total, asked = once.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
@@ -42,7 +43,7 @@ def search(rows: DataFrame, is_query: Column, k: int, prepare: Callable[[np.ndar
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     hashed = F.xxhash64("vec_id", "vec")
     block = once.withColumn("part", F.pmod(hashed, F.lit(parts)).cast("int")).withColumn("ask", spread(asks))
-    query = once.where(is_query).withColumn("ask", F.pmod(hashed, F.lit(asks)).cast("int")).withColumn("part", spread(parts))
+    query = once.where(is_query).withColumn("own", hashed).withColumn("ask", F.pmod(hashed, F.lit(asks)).cast("int")).withColumn("part", spread(parts))
     keys = ["dim", "part", "ask"]
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -56,11 +57,12 @@ def search(rows: DataFrame, is_query: Column, k: int, prepare: Callable[[np.ndar
         if not out:
             return kind.empty_table()
         who, found, scores = (np.concatenate(x) for x in zip(*out))
-        return pa.Table.from_arrays([pa.array(ids[who]), pa.array(found), pa.array(scores, kind.field("score").type)], schema=kind)
+        own = right.column("own").to_numpy()
+        return pa.Table.from_arrays([pa.array(ids[who]), pa.array(own[who]), pa.array(found), pa.array(scores, kind.field("score").type)], schema=kind)
 
     score = "long" if pa.types.is_integer(kind.field("score").type) else "double"
-    found = block.groupBy(*keys).cogroup(query.groupBy(*keys)).applyInArrow(run, f"query_id long, vec_id long, score {score}")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = block.groupBy(*keys).cogroup(query.groupBy(*keys)).applyInArrow(run, f"query_id long, own long, vec_id long, score {score}")
+    rank = F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

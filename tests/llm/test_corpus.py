@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -296,8 +297,55 @@ def test_exact_search_of_large_components(spark):
     assert [(r["vec_id"], r["score"]) for r in sorted(made, key=lambda r: r["rank"])] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
 
 
-def test_approximate_search(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LEAST", 50)
+def test_exact_search_of_small_queries_in_large_rows(spark):
+    rows = [(0, [1.0, 3.0]), (1, [float(2**40 + 2**18), 1.0]), (2, [float(2**40), 2.0]), (3, [float(2**40), 2.0 + 1 / 1024]), (4, [-1.0, 2.0])]
+    made = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3).collect()
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = sorted(((-sum(a * b for a, b in zip(whole[0], v)), i) for i, v in whole.items() if i))[:3]
+    assert [(r["vec_id"], r["score"]) for r in sorted(made, key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+    large = [(0, [3.3e15, 1.0]), *((i, [2.2e15 + i, 7.0 * i]) for i in range(1, 20))]
+    made = knn.top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("vec_id") == 5, 4).collect()
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in large}
+    want = sorted((-min(sum(a * b for a, b in zip(whole[5], v)), 2**63 - 1), i) for i, v in whole.items() if i != 5)[:4]
+    assert [(r["vec_id"], r["score"]) for r in sorted(made, key=lambda r: r["rank"])] == [(i, -s) for s, i in want]
+
+
+@pytest.mark.parametrize("search", [knn.top_k, ann.nearest])
+def test_query_rows_of_one_id_have_lists_of_their_own(spark, search):
+    r = np.random.default_rng(5)
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0])] + [(i, r.normal(size=2).tolist()) for i in range(1, 8)]
+    made = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5).collect()
+    assert Counter(r["rank"] for r in made) == {k: 2 for k in range(1, 6)} and {r["query_id"] for r in made} == {0}
+    lists = defaultdict(list)
+    for x in sorted(made, key=lambda x: x["rank"]):
+        lists[x["rank"]].append(x["vec_id"])
+    first = {max(range(1, 8), key=lambda i: rows[i + 2][1][c]) for c in (0, 1)}
+    assert set(lists[1]) == first
+
+
+def test_equal_vectors_have_equal_scores(spark):
+    r = np.random.default_rng(8)
+    same, base = r.normal(size=33).tolist(), r.normal(size=(300, 33))
+    rows = [(i, same if i % 3 == 0 else base[i].tolist()) for i in range(300)]
+    made = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 3, 20).collect()
+    assert [(x["vec_id"], x["rank"]) for x in sorted(made, key=lambda x: x["rank"])] == [(3 * k, n) for n, k in enumerate([0, *range(2, 21)], 1)]
+    assert len({x["score"] for x in made}) == 1
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_with_the_shipped_parameters(spark, size):
+    path = f"/root/testdata/{size}"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    got = defaultdict(set)
+    for x in ann.op3_multiprobe_neighbours(spark, path).collect():
+        got[x["query_id"]].add(x["vec_id"])
+    rows = [(x["vec_id"], x["embedding"]) for x in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    want = brute(rows, 20, lambda i: i % 20 == 0, 0)
+    assert set(got) == set(want) and np.mean([len({j for j, _ in v} & got[i]) / len(v) for i, v in want.items()]) >= 0.9
+
+
+def test_approximate_search(spark):
     df, rows = table(spark, 3000)
     got = defaultdict(dict)
     for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
