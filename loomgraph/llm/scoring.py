@@ -11,9 +11,10 @@ smoothed by the word's alone in the same way.
 
 The filter is built in slices of the key space, as many as the bytes of text
 require, so a slice holds a bounded number of n-grams and scores depend on the
-tables only.  A slice tells n-grams apart by 40 bits of their hash (on top of
-those that choose the slice): a wrong match has a probability of about 5e-6 a
-reading, at any size of the corpus, against 8e-3 of the filter itself.  The
+tables only.  A slice tells n-grams apart by 32 bits of their hash (on top of
+those that choose the slice; words by 64): a wrong match has a probability of
+about 5e-4 a reading, at any size of the corpus, against 1.4e-3 of the filter
+itself.  The
 filter of a small corpus is broadcast, and blocks of documents probe it on the
 spot.  That of a larger one stays in slices: a block sends its distinct n-grams
 with their counts once, the slice builds its part of the filter from what all
@@ -23,6 +24,7 @@ blocks sent, probes it, and sends the levels back.  Both read the same bits.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +32,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .blocks import SLICE, cuts, dealt, hashed, labels, places, size_of, slice_of
-from .runtime import checkpointed, table
+from .blocks import cuts, dealt, hashed, labels, places, slice_of
+from .runtime import checkpointed, partitions, table
 
-#: Ratio of neighbouring levels, hash functions, and bits for each entry (a false answer in about 1 of 120).
-RATIO, PROBES, BITS = 1.5, 7, 10
+#: Ratio of neighbouring levels, hash functions, and bits for each entry (a false answer in about 1 of 700).
+RATIO, PROBES, BITS = 1.5, 7, 14
 #: Occurrences that the lower order's probability counts for.
 MASS = 4.0
-#: Bytes of text up to which the filter is broadcast. Each byte gives at most 1.5 entries of BITS bits: at most 120 MB.
-BROADCAST = 64 << 20
+#: Bytes of text up to which the filter is broadcast. Each byte gives at most 1.5 entries of BITS bits: at most 126 MB.
+BROADCAST = 48 << 20
 END, START = tv.U(0x9D5C1B7E3A4F6081), tv.U(0x1F83D9ABFB41BD6B)
-#: Bytes of an n-gram's key inside its slice.
-WIDTH = 5
+#: Bytes of an n-gram's key inside its slice, and of text whose n-grams fall into one slice, on average.
+WIDTH, SLICE = 4, 6 << 20
+#: Tokens that a task counts before it passes the words on.
+TOKENS = 2_000_000
 KEY = tv.U((1 << 8 * WIDTH) - 1)
 GRAM = tv.U(1 << 8 * WIDTH)  # sets keys of pairs and triples apart from words in the filter
 
@@ -169,6 +173,42 @@ def unplaned(raw: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(-1).view("<u8"), n
 
 
+def totals(docs: DataFrame, key: str, text: str) -> tuple[int, int, int]:
+    """Training tokens, distinct ones among them, and bytes of all texts."""
+    n = labels(docs, partitions(docs.sparkSession))
+    told = pa.schema([("slice", pa.int32()), ("words", pa.binary()), ("n", pa.int64()), ("size", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, tokens, size = [], 0, 0, 0
+
+        def out() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(words))
+            rows = [(s, planes(keys[a:b], 8), 0, 0) for s, a, b in cuts(keys, n)] + [(int(n[0]), b"", tokens, size)]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), told)], schema=told)
+
+        for b, data, offsets in tv.pieces(batches, "text"):
+            h, first = tv.word_hashes(data, offsets, lower=True)
+            teaches = b.column(1).to_numpy(zero_copy_only=False)
+            own = h[np.repeat(teaches, np.diff(first))]
+            words.append(np.unique(own))
+            if teaches.any():
+                words.append(np.array([END]))
+            tokens, size, held = tokens + len(own) + int(teaches.sum()), size + len(data), held + len(h)
+            if held > TOKENS:
+                yield out()
+                words, held, tokens, size = [], 0, 0, 0
+        if words:
+            yield out()
+
+    def merged(k: tuple, t: pa.Table) -> pa.Table:
+        v = len(np.unique(unplaned(t.column("words").to_pylist(), 8)[0]))
+        return pa.table({"v": [v], "n": [sum(t.column("n").to_pylist())], "size": [sum(t.column("size").to_pylist())]})
+
+    counted = docs.select(docs[text].alias("text"), trained(docs[key]).alias("teaches")).mapInArrow(count, "slice int, words binary, n long, size long")
+    row = counted.groupBy("slice").applyInArrow(merged, "v long, n long, size long").agg(F.sum("n"), F.sum("v"), F.sum("size")).first()
+    return tuple(int(x or 0) for x in row)
+
+
 def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast: int = BROADCAST, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row a row of docs.
 
@@ -178,14 +218,14 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast:
     left out.  Without training documents all base scores are 0 (each token has
     probability 1 / 1).  Counts for the base score are exact.
     """
-    size = size_of(docs, text)
+    total, vocabulary, size = totals(docs, key, text)
     small = size <= broadcast
     n = labels(docs, max(1, -(-size // SLICE)))
     number = {x: i for i, x in enumerate(n.tolist())}
     own = dealt(docs, key, text, size).withColumn("held_out", ~trained(F.col("doc_id")))
     told = pa.schema([("slice", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("words", "word_counts", "grams", "gram_counts"))])
-    model = pa.schema([("block", pa.int32()), ("slice", pa.int32()), *((c, pa.binary()) for c in ("counts", "word_levels", "gram_levels", "filter")), ("n", pa.int64()), ("v", pa.int64())])
-    sql = lambda s: ", ".join(f"{f.name} {({pa.int32(): 'int', pa.int64(): 'long'}).get(f.type, 'binary')}" for f in s)
+    model = pa.schema([("block", pa.int32()), ("slice", pa.int32()), *((c, pa.binary()) for c in ("counts", "word_levels", "gram_levels", "filter"))])
+    sql = lambda s: ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in s)
     rows_of = lambda rows, s: pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [()] * len(s), s)], schema=s)
 
     def parts(t: pa.Table) -> Tokens:
@@ -219,15 +259,17 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast:
             read = Filter(*joined({0: raw}, 1))
             word_levels, told_grams = read.levels(words)[word_place].tobytes(), read.levels(grams)[gram_place].tobytes()
         a, b = np.concatenate(([0], np.cumsum(n_words))).tolist(), np.concatenate(([0], np.cumsum(n_grams))).tolist()
-        rows = [(block, slice_, planes(told_words[a[i] : a[i + 1]], 8), word_levels[a[i] : a[i + 1]], told_grams[b[i] : b[i + 1]], b"", 0, 0) for i, block in enumerate(blocks)]
-        rows.append((-1, slice_, b"", b"", b"", raw if small else b"", int(counts.sum()), int(known.sum())))
+        rows = [(block, slice_, planes(told_words[a[i] : a[i + 1]], 8), word_levels[a[i] : a[i + 1]], told_grams[b[i] : b[i + 1]], b"") for i, block in enumerate(blocks)]
+        if small:
+            rows.append((-1, slice_, b"", b"", b"", raw))
         return rows_of(rows, model)
 
-    replies = checkpointed(own.groupBy("block").applyInArrow(tell, sql(told)).groupBy("slice").applyInArrow(build, sql(model)))
-    total, vocabulary = (int(x or 0) for x in replies.where("block = -1").agg(F.sum("n"), F.sum("v")).first())
+    replies = own.groupBy("block").applyInArrow(tell, sql(told)).groupBy("slice").applyInArrow(build, sql(model))
     shared = None
     if small:
+        replies = checkpointed(replies)
         shared = docs.sparkSession.sparkContext.broadcast(joined({number[r[0]]: bytes(r[1]) for r in replies.where("block = -1").select("slice", "filter").toLocalIterator()}, len(n)))
+        replies = replies.where("block >= 0")
 
     def score(k: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -261,7 +303,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast:
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
-    made = own.groupBy("block").cogroup(replies.where("block >= 0").drop("filter", "n", "v").groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    made = own.groupBy("block").cogroup(replies.drop("filter").groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return made.withColumnRenamed("doc_id", key)
 
 
