@@ -72,27 +72,28 @@ def formatted(turns: DataFrame, template: Template = marked, extra: DataFrame |
 
     Turns count in order of turn, then of role and text where turns repeat;
     repeated rows stay.  Null roles and texts are empty, a null conv_id is a
-    conversation of its own, other columns are ignored, an empty table gives
-    an empty result.  The rows of a conversation stream through one task in
+    conversation of its own, conversations of extra (conv_id, turn, role, text)
+    stay apart from those of turns even if their ids clash, other columns are
+    ignored, an empty table gives an empty result.  The rows of a conversation stream through one task in
     order, and only one conversation is in memory at a time.
     """
-    wanted = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    wanted = turns.select(F.lit(0).alias("from"), F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     if extra is not None:
-        wanted = wanted.unionByName(extra)
+        wanted = wanted.unionByName(extra.withColumn("from", F.lit(1)))
     inner = pa.struct([("role", pa.string()), *((n, pa.int32()) for n in ("start", "end", "text_start", "text_end"))])
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(inner)), ("rewrites_at", pa.int32())])
 
     def conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:
         now, held = None, []
         for b in batches:
-            for conv, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for *conv, role, text in zip(*(b.column(c).to_pylist() for c in ("from", "conv_id", "role", "text"))):
                 if held and conv != now:
-                    yield now, held
+                    yield now[1], held
                     held = []
                 now = conv
                 held.append((role, text))
         if held:
-            yield now, held
+            yield now[1], held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[str, list] = {n: [] for n in schema.names}
@@ -109,7 +110,7 @@ def formatted(turns: DataFrame, template: Template = marked, extra: DataFrame |
         if rows["conv_id"]:
             yield from typed([rows], schema)
 
-    return wanted.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id long, formatted string, spans {SPANS}, rewrites_at int")
+    return wanted.repartition(partitions(turns.sparkSession), "from", "conv_id").sortWithinPartitions("from", "conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id long, formatted string, spans {SPANS}, rewrites_at int")
 
 
 def read_back(made: DataFrame) -> DataFrame:

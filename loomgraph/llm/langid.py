@@ -6,8 +6,9 @@ compared with that of each language by out-of-place distance: the sum of the
 differences of ranks, K for an n-gram that the language's profile lacks.
 
 Learning counts over all training documents: workers count by language and
-slice, Spark adds the counts up, and only the best K n-grams of each language
-reach the driver.
+slice, Spark adds the counts up and keeps the best K n-grams of each language.
+The profiles of up to LANGUAGES languages are broadcast at a time; with more,
+texts meet one such group after the other and keep the nearest language so far.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .runtime import table, typed
+from .runtime import checkpointed, table, typed
 
 #: Length of a profile.
 K = 400
-#: Number of distinct languages that learning accepts; with K it bounds the model, which is broadcast.
-LANGUAGES = 4096
+#: Languages whose profiles are broadcast at a time: a matrix of at most K * LANGUAGES n-grams by LANGUAGES ranks of 4 bytes, 6.6 MB.
+LANGUAGES = 64
 #: Counts that a worker holds before it passes them on.
 HELD = 1_000_000
 
@@ -79,11 +80,11 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray) -> tuple[np
     two_own = np.where(letter[:-1], own[:-1], own[1:])
     three = (two[:-1] << b) | s[2:]
     code = np.concatenate([s, two, three])
+    if 3 * bits + int(max(owner.max(initial=0), 1)).bit_length() > 64:  # so many letters and owners that a key would not hold both
+        return halves(data, offsets, owner)
     who = np.concatenate([own, two_own, np.where(letter[1:-1], own[1:-1], -1)])
     good = who >= 0
     key = (who[good].astype(np.uint64) << tv.U(3 * bits)) | code[good]
-    if 3 * bits + int(max(owner.max(initial=0), 1)).bit_length() > 64:
-        raise ValueError("too many symbols for one slice of text")
     key.sort()
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(key)))
@@ -95,6 +96,20 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray) -> tuple[np
     return (key >> tv.U(3 * bits)).astype(np.int64), gram, count
 
 
+def halves(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ngrams() by halves of the texts, or owner by owner where that is not enough."""
+    whose = np.unique(owner[owner >= 0])
+    if len(whose) == 1:
+        raise AssertionError("one owner's letters always fit")  # 21 bits a letter
+    parts = []
+    for some in (whose[: len(whose) // 2], whose[len(whose) // 2 :]):
+        place = np.searchsorted(some, owner)
+        mine = np.where((owner >= 0) & (some[np.minimum(place, len(some) - 1)] == owner), np.minimum(place, len(some) - 1), -1)
+        o, g, c = ngrams(data, offsets, mine)
+        parts.append((some[o], g, c))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def best(owner: np.ndarray, gram: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each owner's k most frequent n-grams, ties to the smaller number: owner, n-gram, rank."""
     # Already by owner and n-gram; a stable sort by count within owner keeps ties in order.
@@ -108,7 +123,7 @@ def best(owner: np.ndarray, gram: np.ndarray, count: np.ndarray, k: int) -> tupl
 
 
 class Model:
-    """Profiles of all languages as one matrix of ranks."""
+    """Profiles of some languages as one matrix of ranks."""
 
     def __init__(self, rows: list[tuple[str, int, int]], k: int = K):
         self.k = k
@@ -119,26 +134,36 @@ class Model:
         for lang, gram, rank in rows:
             self.ranks[np.searchsorted(self.grams, np.uint64(gram)), column[lang]] = rank
 
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        n = len(offsets) - 1
-        lang, score = ["und"] * n, np.zeros(n)
-        if not self.langs:
-            return lang, score
-        doc, gram, rank = best(*ngrams(data, offsets, np.arange(n)), self.k)
-        if not len(doc):
-            return lang, score
+    def nearest(self, doc: np.ndarray, gram: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each document of a profile (sorted by document), the place of the nearest language and its distance; ties to the language that sorts first."""
         at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
         at = np.where(self.grams[at] == gram, at, len(self.grams))
         theirs = self.ranks[at]
         away = np.where(theirs < self.k, np.abs(theirs - rank[:, None]), self.k)
         first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         total = np.add.reduceat(away, first, axis=0).astype(np.int64)
-        size = np.diff(np.append(first, len(doc)))
-        pick = total.argmin(1)  # ties to the language that sorts first
-        score[doc[first]] = 1 - total[np.arange(len(first)), pick] / (size * self.k)
-        for i, p in zip(doc[first].tolist(), pick.tolist()):
-            lang[i] = self.langs[p]
+        pick = total.argmin(1)
+        return pick, total[np.arange(len(first)), pick]
+
+
+def nearest_of(models: list[Model], data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[list[str], np.ndarray]:
+    """Language and score (1 - distance / largest distance) of each text; models hold languages in order."""
+    n = len(offsets) - 1
+    lang, score = ["und"] * n, np.zeros(n)
+    doc, gram, rank = best(*ngrams(data, offsets, np.arange(n)), k)
+    if not len(doc) or not models:
         return lang, score
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    size = np.diff(np.append(first, len(doc)))
+    least = np.full(len(first), np.iinfo(np.int64).max)
+    for m in models:
+        pick, total = m.nearest(doc, gram, rank)
+        better = np.flatnonzero(total < least)
+        least[better] = total[better]
+        for i in better.tolist():
+            lang[doc[first[i]]] = m.langs[pick[i]]
+    score[doc[first]] = 1 - least / (size * k)
+    return lang, score
 
 
 def held_out(key: Column) -> Column:
@@ -146,8 +171,11 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", k: int = K) -> Model:
-    """Profiles from all rows of docs with a language; rows without one or without text teach nothing."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", k: int = K, languages: int = LANGUAGES) -> list:
+    """Broadcast models of up to so many languages each, in order of language, from all rows of docs with a language; rows without one or without text teach nothing.
+
+    At most k n-grams of each of those languages are on the driver at a time.
+    """
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,23 +206,28 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", k: int = K) -
 
     counts = docs.where(docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[text].alias("text"), docs[lang].alias("lang")).mapInArrow(run, "lang string, gram long, count long")
     total = counts.groupBy("lang", "gram").agg(F.sum("count").alias("count"))
-    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram")) - 1).where(F.col("rank") < k)
-    rows = ranked.select("lang", "gram", "rank").limit(k * LANGUAGES + 1).collect()
-    if len(rows) > k * LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    return Model([tuple(r) for r in rows], k)
-
-
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram"))).where(F.col("rank") <= k)
+    ranked = checkpointed(ranked.select("lang", "gram", F.col("rank") - 1))
+    models, after = [], None
+    while True:
+        some = ranked if after is None else ranked.where(F.col("lang") > after)
+        names = [r[0] for r in some.select("lang").distinct().orderBy("lang").limit(languages).collect()]
+        if not names:
+            return models
+        rows = some.where(F.col("lang") <= names[-1]).collect()
+        models.append(docs.sparkSession.sparkContext.broadcast(Model([tuple(r) for r in rows], k)))
+        after = names[-1]
+
+
+def predict(docs: DataFrame, models: list, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' columns keep, and lang_pred and score, for every row; `und` and 0 for texts that are null or have no letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
     names = [f.name for f in chosen.schema.fields[:-1]]
     kind = chosen.drop("__text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in tv.pieces(batches, "__text"):
-            lang, score = shared.value.predict(data, offsets)
+            lang, score = nearest_of([m.value for m in models], data, offsets)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     return chosen.mapInArrow(run, kind)
@@ -206,8 +239,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     Repeated rows stay; extra columns are left out; an empty table, or one
     without a labelled row, gives `und` with score 0 for each row there is.
     """
-    model = learn(docs.where(~held_out(docs[key])), text, lang)
-    made = predict(docs.select(docs[key].cast("long").alias("doc_id"), held_out(docs[key]).alias("held_out"), docs[text].alias("text")), model, keep=("doc_id", "held_out"))
+    models = learn(docs.where(~held_out(docs[key])), text, lang)
+    made = predict(docs.select(docs[key].cast("long").alias("doc_id"), held_out(docs[key]).alias("held_out"), docs[text].alias("text")), models, keep=("doc_id", "held_out"))
     return made.withColumnRenamed("doc_id", key)
 
 

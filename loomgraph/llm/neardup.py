@@ -3,10 +3,10 @@
 1.  Documents with equal shingle sets are one class; only classes go on.
 2.  One-permutation MinHash gives bands; classes that share a band meet in a
     bucket.
-3.  The odd sketch of a class is the parity bitmap of its MinHash samples (of
-    all shingles, if they are few).  The number of ones in the XOR of two
-    sketches estimates how much the sets differ, precisely where they are
-    alike, so it rejects most pairs that only share a band.
+3.  The odd sketch of a class is the parity bitmap of its MinHash samples: the
+    smallest hash in each of SAMPLES ranges that has any.  The number of ones
+    in the XOR of two sketches estimates how many samples differ, precisely
+    where sets are alike, so it rejects most pairs that only share a band.
 4.  What is left is confirmed on the full shingle sets.
 5.  Buckets are compared star-wise first: every member with the bucket's most
     central member.  Only members that the links so far do not join to it are
@@ -98,30 +98,36 @@ def bands(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def odd_sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Parity bitmaps (documents x BITS / 8 bytes) of the sets, or of SAMPLES MinHash samples of larger ones."""
+    """Parity bitmaps (documents x BITS / 8 bytes) of the sets' MinHash samples, one of each range that has a hash."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
-    keep = np.ones(len(sets), bool)
+    keep = np.zeros(0, bool)
     if len(sets):
         place = doc * SAMPLES + ((sets >> tv.U(20)) * tv.U(SAMPLES) >> tv.U(H - 20)).astype(np.int64)
-        keep = np.concatenate(([True], place[1:] != place[:-1])) | (n[doc] <= SAMPLES)
+        keep = np.concatenate(([True], place[1:] != place[:-1]))  # hashes are sorted, so the first of a range is its smallest
     bit = (tv.mix(sets[keep]) & tv.U(BITS - 1)).astype(np.int64)
     odd = np.bincount(doc[keep] * BITS + bit, minlength=len(n) * BITS) & 1
     return np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1)
 
 
 def near_enough(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sketches a and b (uint64 words, last axis) allow a similarity of percent. na, nb: sizes of the sets."""
+    """Whether the sketches a and b (uint64 words, last axis) allow a similarity of percent. na, nb: sizes of the sets.
+
+    At similarity t, the two sets have (na + nb) / (1 + t) hashes together.  A
+    range that holds any differs with probability 1 - t, by one sample where
+    the smallest hash is its only one, and by at most two otherwise.
+    """
     t = percent / 100
     ones = np.bitwise_count(a ^ b).sum(-1).astype(np.int64)
-    whole = (na <= SAMPLES) & (nb <= SAMPLES)
-    sampled = (na > SAMPLES) & (nb > SAMPLES)
-    off = 1 - t + SIGMAS * np.sqrt(t * (1 - t) / SAMPLES)
-    d = np.where(whole, (1 - t) / (1 + t) * (na + nb), 2 * SAMPLES * off)
+    load = (na + nb) / (1 + t) / SAMPLES  # hashes of both in a range
+    used = SAMPLES * -np.expm1(-load)  # ranges that have any
+    each = 2 - np.where(load < 500, load / np.expm1(np.clip(load, 1e-9, 500)), 0)  # most samples that differ where the smallest does
+    d = used * (1 - t) * each
+    d = d + SIGMAS * np.sqrt(np.maximum(used * (1 - t) * each**2, 1)) * np.sqrt(np.minimum(1, 1 - (1 - t) * used / np.maximum(na + nb, 1)))
     e = np.exp(-4 * d / BITS)
     most = BITS / 2 * (1 - np.sqrt(e)) + SIGMAS * np.sqrt(BITS / 4 * np.maximum(1 - e * (1 + 4 * d / BITS), 0)) + 1
     sizes = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    return sizes & ((ones <= most) | ~(whole | sampled))
+    return sizes & (ones <= most)
 
 
 SIGNED = "doc_id long, n long, cls long, bands array<long>, sketch binary"

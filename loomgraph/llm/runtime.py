@@ -13,12 +13,19 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The cluster names the folder in spark.checkpoint.dir; only a session
-    without that setting (tests on one machine) gets a temporary one.
+    The cluster names the folder in spark.checkpoint.dir; only a session on one
+    machine (master local, as in tests) without that setting gets a temporary
+    one.  On a cluster a folder of each machine's own would lose data, so there
+    a missing setting is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="loomgraph-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -69,7 +69,7 @@ def test_small_blocks_lose_no_link(docs, rows, monkeypatch):
 
 def test_sketches_reject_no_true_pair():
     r = np.random.default_rng(3)
-    for n in (8, 60, 900, 1024, 1500, 8000):
+    for n in (8, 60, 300, 900, 1024, 1500, 8000, 40000):
         for _ in range(40):
             base = r.integers(0, 1 << 52, n + n // 5, dtype=np.uint64)
             k = int(0.15 / 1.85 * n)
@@ -82,6 +82,19 @@ def test_sketches_reject_no_true_pair():
             assert neardup.near_enough(s[:1], s[1:], np.array([len(a)]), np.array([len(b)]), 85).all()
 
 
+@pytest.mark.parametrize("n", [60, 300, 1024, 1500, 8000])
+def test_sketches_reject_most_far_pairs(n):
+    r, passed = np.random.default_rng(4), 0
+    for _ in range(40):
+        base = r.integers(0, 1 << 52, 2 * n, dtype=np.uint64)
+        k = int(0.35 * n)  # similarity about 0.48
+        a, b = np.unique(base[:n]), np.unique(base[k : n + k])
+        at = np.array([0, len(a), len(a) + len(b)])
+        s = neardup.odd_sketches(np.concatenate([a, b]), at).view(np.uint64)
+        passed += int(neardup.near_enough(s[:1], s[1:], np.array([len(a)]), np.array([len(b)]), 85)[0])
+    assert passed <= 4
+
+
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
 @settings(max_examples=6, deadline=None)
 def test_components(spark, pairs):
@@ -189,6 +202,57 @@ def test_ngrams(texts):
     assert got == dict(want)
 
 
+def language_by_hand(rows, k=langid.K):
+    """doc_id, language and score by ranks in plain Python."""
+
+    def profile(texts):
+        seen = Counter()
+        for t in texts:
+            for w in "".join(c if c.isalpha() else " " for c in t or "").split():
+                s = [1, *(ord(c.lower()) + 2 if len(c.lower()) == 1 else ord(c) + 2 for c in w), 1]
+                for i in range(len(s)):
+                    if 0 < i < len(s) - 1:
+                        seen[s[i]] += 1
+                    if i + 1 < len(s):
+                        seen[s[i] << 21 | s[i + 1]] += 1
+                    if i + 2 < len(s):
+                        seen[s[i] << 42 | s[i + 1] << 21 | s[i + 2]] += 1
+        return [g for g, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:k]]
+
+    taught = defaultdict(list)
+    for i, t, lang in rows:
+        if lang is not None and t is not None and zlib.crc32(str(i if i is not None else "").encode()) % 5:
+            taught[lang].append(t)
+    ranks = {lang: {g: r for r, g in enumerate(p)} for lang, ts in sorted(taught.items()) if (p := profile(ts))}
+    out = Counter()
+    for i, t, _ in rows:
+        own = profile([t])
+        away = [(sum(abs(theirs[g] - r) if g in theirs else k for r, g in enumerate(own)), lang) for lang, theirs in ranks.items()] if own else []
+        d, lang = min(away, default=(0, "und"))
+        out[(i, lang, round(1 - d / (len(own) * k), 9) if away else 0.0)] += 1
+    return out
+
+
+def test_language_is_the_nearest_profile(spark, docs, rows):
+    want = language_by_hand(rows)
+    made = langid.identify(docs).collect()
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in made) == want
+    r = np.random.default_rng(2)
+    many = [(i, " ".join("".join(r.choice(list("abcdefgh"), 4)) for _ in range(6)), f"l{i % 9}") for i in range(60)]
+    df = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    models = langid.learn(df.where(~langid.held_out(df["doc_id"])), languages=2)  # groups of languages, ties among them to the first
+    made = langid.predict(df, models, keep=("doc_id",)).collect()
+    assert len(models) == 5 and Counter((x["doc_id"], x["lang_pred"], round(x["score"], 9)) for x in made) == language_by_hand(many)
+
+
+def test_many_letters_and_owners():
+    texts = ["".join(chr(0x4E00 + (37 * i + j) % 20000) for j in range(300)) for i in range(600)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    whole = langid.ngrams(data, offsets, np.arange(600) * 2**20)
+    plain = langid.ngrams(data, offsets, np.arange(600))
+    assert (whole[0] == plain[0] * 2**20).all() and (whole[1] == plain[1]).all() and (whole[2] == plain[2]).all()
+
+
 def model_scores(rows, quantised):
     """score of each row by exact counts of words, pairs and triples."""
     one, two, three = Counter(), Counter(), Counter()
