@@ -28,7 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies; of rows that share a doc_id, one. Rows without a doc_id stay."""
+    """Keeps the document with the smallest doc_id of each group of near copies; of rows that share a doc_id, one. Rows without a doc_id stay.
+
+    A doc_id names a document: rows that share one are taken as its versions,
+    so only one of them can stay, whatever their texts.
+    """
     found = checkpointed(neardup.groups(docs.select("doc_id", "text"), NEAR))
     kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows__"))
     single = docs.join(kept.where("rows__ = 1").select("doc_id"), "doc_id", "left_semi")
