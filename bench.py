@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = (
     "merge_nodes_last_wins", "merge_edges_last_wins", "graph_counts", "degree", "raw_degree", "infer_types", "external_types", "god_nodes", "god_node_details",
     "inheritance_trees", "surprising_connections", "command_pattern", "builder_factory", "observer_pattern", "strategy_pairs", "enums", "key_files", "runtime_deps",
-    "directory_deps", "directory_stats", "cohesion", "modularity", "community_labels", "components", "louvain", "bfs_depth2", "token_budget", "shortest_path_len",
+    "directory_deps", "directory_stats", "cohesion", "modularity", "community_labels", "components", "bfs_depth2", "token_budget", "shortest_path_len",
     "explain_node", "word_count", "classify_files", "cypher_lines",
 )
 

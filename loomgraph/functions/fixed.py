@@ -64,6 +64,9 @@ CONFIDENCES = ("EXTRACTED", "INFERRED", "AMBIGUOUS")
 NODE_FIELDS = ("id", "label", "file_type", "source_file")
 EDGE_FIELDS = ("source", "target", "relation", "confidence", "source_file")
 
+# Fixed value: how the evidence of a Command names those that share its verb.
+COMMAND_EVIDENCE = "inherit and override it"
+
 # Relations that only say where something is written.
 STRUCTURAL = ("imports", "imports_from", "contains", "method", "case_of")
 
@@ -72,4 +75,4 @@ LABEL_POINTS = {"class": 100, "mixin": 100, "extension": 100, "enum": 90, "funct
 HELPER_PREFIXES = ("_wrap", "_make", "_build", "_ctx", "_doc")
 
 # Colours of communities in the viewer, by number modulo 10.
-PALETTE = ("#4E79A7", "#F28E2B", "#E15759", "#76B7B2", "#59A14F", "#EDC948", "#B07AA1", "#FF9DA7", "#9C755F", "#BAB0AC")
+PALETTE = ("#1b6ca8", "#d1495b", "#3c9d5d", "#edae49", "#7d5ba6", "#00798c", "#a05a2c", "#5c6b73", "#b83280", "#8a9a2b")

@@ -52,7 +52,7 @@ def command(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     chosen = g.project_classes(nodes, edges).join(sizes, "id").join(base, "id", "left").join(common, "id", "left").withColumn("verb", F.coalesce("own", "common"))
     found = chosen.join(shared, ["id", "verb"]).where("having >= 3")
     verb = F.element_at(F.array(*map(F.lit, fixed.COMMAND_VERBS)), F.col("verb") + 1)
-    evidence = [F.concat(F.col("n").cast("string"), F.lit(" subclasses share "), verb, F.lit("() method")), F.concat(F.array_join(exprs.truncated(F.col("names"), 5), ", "), F.lit(" inherit and override it"))]
+    evidence = [F.concat(F.col("n").cast("string"), F.lit(" subclasses share "), verb, F.lit("() method")), F.concat(F.array_join(exprs.truncated(F.col("names"), 5), ", "), F.lit(f" {fixed.COMMAND_EVIDENCE}"))]
     return _result(found, "Command", evidence, F.col("having") + 1)
 
 

@@ -33,16 +33,16 @@ def tree_lines(tree: dict, most: int = 10) -> list[str]:
 def summary(a: dict) -> str:
     """The executive summary's sentences."""
     communities, lone = a["communities"], a["singletons"]
-    text = f"Project contains {a['total_files']} files with {a['node_count']} nodes and {a['edge_count']} edges, organized into {communities - lone} communities"
-    parts = [text + (f" (plus {lone} isolated nodes)" if lone else "") + "."]
+    text = f"{a['total_files']} files became {a['node_count']} nodes and {a['edge_count']} edges in {communities - lone} communities"
+    parts = [text + (f", and {lone} nodes stand alone" if lone else "") + "."]
     if a["directory_stats"]:
-        parts.append("Largest directories: " + "; ".join(f"{d['directory']} ({d['file_count']} files, {d['node_count']} nodes)" for d in a["directory_stats"][:4]) + ".")
+        parts.append("Most nodes are in " + "; ".join(f"{d['directory']} ({d['file_count']} files, {d['node_count']} nodes)" for d in a["directory_stats"][:4]) + ".")
     if a["god_nodes"]:
-        parts.append("Core abstractions: " + ", ".join(g["label"] for g in a["god_nodes"][:3]) + ".")
+        parts.append("Most linked: " + ", ".join(g["label"] for g in a["god_nodes"][:3]) + ".")
     rings = a["layers"]["cycles"]
-    parts.append(f"Architecture has {len(rings)} dependency cycle(s) that may warrant refactoring." if rings else "Architecture shows clean layering with no dependency cycles.")
+    parts.append(f"Directories depend on each other in {len(rings)} cycle(s)." if rings else "No directories depend on each other in a cycle.")
     if a["patterns"]:
-        parts.append("Design patterns detected: " + ", ".join(f"{p['name']} ({p['anchor_node']})" for p in a["patterns"]) + ".")
+        parts.append("Patterns found: " + ", ".join(f"{p['name']} ({p['anchor_node']})" for p in a["patterns"]) + ".")
     return " ".join(parts)
 
 

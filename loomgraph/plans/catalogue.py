@@ -104,7 +104,7 @@ def make_id(spark: SparkSession, d: str) -> DataFrame:
     return p.read(spark, d, "part").select("p_partkey", exprs.make_id(F.col("p_brand"), F.col("p_name"), F.col("p_type")).alias("node_id"))
 
 
-@query(f"SELECT doc_id, {MAKE_ID.format('path || left(text, 200)')} AS node_id FROM paths", ("paths",))
+@query(f"SELECT doc_id, {MAKE_ID.format('path || text')} AS node_id FROM paths", ("paths",))
 def make_id_multilingual(spark: SparkSession, d: str) -> DataFrame:
     return p.paths(spark, d).select("doc_id", exprs.make_id(F.concat("path", "text")).alias("node_id"))
 
@@ -488,23 +488,23 @@ def event_transitions(spark: SparkSession, d: str) -> DataFrame:
     return _steps(spark, d).groupBy("from_dir", "to_dir").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query(f"""WITH RECURSIVE {STEPS}, adj AS (SELECT DISTINCT from_dir AS a, to_dir AS b FROM steps WHERE from_dir <> to_dir),
-walk AS (SELECT a AS root, b AS node FROM adj UNION SELECT w.root, adj.b FROM walk w JOIN adj ON adj.a = w.node)
-SELECT root AS node FROM walk WHERE root = node""")
-def transition_cycles(spark: SparkSession, d: str) -> DataFrame:
-    """Event types that lie on a cycle of transitions; the back edges of one walk reach each of them."""
-    adj = layers.adjacency(_steps(spark, d).where("from_dir <> to_dir"))
-    reach: dict[str, set[str]] = {}
-    for a in adj:
-        seen, stack = set(), list(adj[a])
-        while stack:
-            b = stack.pop()
-            if b not in seen:
-                seen.add(b)
-                stack += adj[b]
-        reach[a] = seen
-    assert set().union(*layers.cycles(adj), set()) <= {a for a in adj if a in reach[a]}
-    return spark.createDataFrame([(a,) for a in adj if a in reach[a]], "node string")
+RINGS = """own AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY printf('%09d', s_suppkey)) AS r, count(*) OVER (PARTITION BY s_nationkey) AS n, printf('d%09d', s_suppkey) AS dir FROM supplier)"""
+
+
+@query(f"WITH {RINGS} SELECT string_agg(dir, '>' ORDER BY r) || '>' || min(dir) AS ring FROM own GROUP BY s_nationkey HAVING count(*) >= 2")
+def dependency_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as directories, each of which depends on the next of its nation, the last on the first, and on all nations before it."""
+    from pyspark.sql import Window
+
+    own = p.read(spark, d, "supplier").select(F.format_string("d%09d", "s_suppkey").alias("from_dir"), "s_nationkey")
+    order = Window.partitionBy("s_nationkey").orderBy("from_dir")
+    whole = Window.partitionBy("s_nationkey")
+    ring = own.select("from_dir", F.coalesce(F.lead("from_dir").over(order), F.min("from_dir").over(whole)).alias("to_dir")).where("from_dir <> to_dir")
+    down = own.select("from_dir", F.format_string("n%02d", "s_nationkey").alias("to_dir"))
+    nations = p.read(spark, d, "nation")
+    down = down.unionAll(nations.where("n_nationkey > 0").select(F.format_string("n%02d", "n_nationkey"), F.format_string("n%02d", F.col("n_nationkey") - 1)))
+    rings = layers.cycles(layers.adjacency(ring.unionAll(down)))
+    return spark.createDataFrame([(">".join(r),) for r in rings], "ring string")
 
 
 @query(f""", {DEPS}, dirs AS (SELECT from_dir AS d FROM deps UNION SELECT to_dir FROM deps),
@@ -525,47 +525,34 @@ def ambiguous_edges(spark: SparkSession, d: str) -> DataFrame:
     return analysis.ambiguous_edges(*_graph(spark, d))
 
 
-# Communities. Clustering runs on customers and suppliers with what they call in one nation of each region.
+# Communities, on the whole graph
 
-def _sub(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = p.read(spark, d, "customer").where("c_nationkey % 5 = 0")
-    o = p.read(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    name = lambda kind, key: F.concat(F.lit(f"{kind}_"), F.col(key).cast("string"))
-    e = o.select(name("customer", "c_custkey"), name("order", "o_orderkey")).union(c.where("c_custkey % 4 = 0").select(name("customer", "c_custkey"), name("nation", "c_nationkey"))).toDF("source", "target").distinct()
-    return e.select(F.explode(F.array("source", "target")).alias("id")).distinct(), e
-
-
-@query()
+# Enums hang together with their values; whatever else has an edge is one component; a part nobody sells and region 0 are alone.
+@query("""
+, tied AS (SELECT source AS id FROM edges UNION SELECT target FROM edges),
+grouped AS (SELECT n.id, CASE WHEN n.id NOT IN (SELECT id FROM tied) THEN n.id WHEN n.type = 'enum' THEN n.id WHEN n.type = 'enum_value' THEN (SELECT min(e.source) FROM edges e WHERE e.target = n.id) ELSE '' END AS g FROM nodes n)
+SELECT id, min(id) OVER (PARTITION BY g) AS component FROM grouped""", ("nodes", "edges"))
 def components(spark: SparkSession, d: str) -> DataFrame:
-    n, e = _sub(spark, d)
-    return cluster.components(n, cluster.simple(e))
-
-
-# A component here is a nation with its linked customers and their orders, or one customer with theirs: that has a closed form.
-ORACLES["components"] = """
-WITH own AS (SELECT c_custkey, c_nationkey, c_custkey % 4 = 0 AS tied FROM customer WHERE c_nationkey % 5 = 0),
-members AS (
-  SELECT CASE WHEN tied THEN 'nation_' || c_nationkey ELSE 'customer_' || c_custkey END AS g, 'customer_' || c_custkey AS id FROM own WHERE tied OR c_custkey IN (SELECT o_custkey FROM orders)
-  UNION SELECT CASE WHEN tied THEN 'nation_' || c_nationkey ELSE 'customer_' || c_custkey END, 'order_' || o_orderkey FROM own JOIN orders ON o_custkey = c_custkey
-  UNION SELECT 'nation_' || c_nationkey, 'nation_' || c_nationkey FROM own WHERE tied)
-SELECT id, min(id) OVER (PARTITION BY g) AS component FROM members"""
+    n, e = _graph(spark, d)
+    return cluster.components(n.select("id").distinct(), cluster.simple(e, n))
 
 
 @query()
 def louvain(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.louvain(*_sub(spark, d))
+    return cluster.louvain(*_graph(spark, d))
 
 
 @query()
 def split_large(spark: SparkSession, d: str) -> DataFrame:
-    n, e = _sub(spark, d)
-    return cluster.split_large(cluster.numbered(cluster.components(n, cluster.simple(e)).withColumnRenamed("component", "community")), n, e)
+    """The nations with their customers, suppliers and orders, split on the edges inside each."""
+    n, e = _graph(spark, d)
+    return cluster.split_large(_by_nation(spark, d), n, e)
 
 
 @query()
 def merge_tiny(spark: SparkSession, d: str) -> DataFrame:
-    """Customers by themselves and their orders by themselves, to be merged."""
-    n, e = _sub(spark, d)
+    """All nodes by themselves, to be merged."""
+    n, e = _graph(spark, d)
     return cluster.merge_tiny(cluster.numbered(n.select("id", F.col("id").alias("community"))), e)
 
 
@@ -762,3 +749,10 @@ def page_link_graph(spark: SparkSession, d: str) -> DataFrame:
     """Pages as files that import what they link to."""
     links = F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href")
     return p.read(spark, d, "pages").select("page_id", links).select("page_id", (F.col("pos") + 1).alias("pos"), "href")
+
+
+# The others are registered by modules of their own.
+from . import more, sources  # noqa: E402
+
+QUERIES |= sources.QUERIES | more.QUERIES
+ORACLES |= sources.ORACLES | more.ORACLES

@@ -106,7 +106,7 @@ def sql(*wanted: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
 
 
 _VERB = "[" + ", ".join(f"'{v}'" for v in VERBS) + "]"

@@ -12,9 +12,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Iterative operators call this each round: plans stay short and a lost
     executor costs no recomputation.  The cluster names the folder in
-    spark.checkpoint.dir; a session without that setting gets a temporary one.
+    spark.checkpoint.dir; a session on one machine (master local) without that
+    setting gets a temporary one, on a cluster the setting is required.
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="loomgraph-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

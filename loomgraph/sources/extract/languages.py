@@ -519,7 +519,7 @@ EXTRACTORS: dict[str, Extractor] = {
 
 _csharp = braces(Braces(
     cls=rf"\b(?:class|interface)\s+(?P<name>{NAME})", bases=after(":"), imports=r"^\s*using\s+(?:static\s+)?(?P<name>[\w.]+)\s*;", last=".",
-    fn=rf"^[ \t]*(?:\[[^\]]*\]\s*)*{MOD}(?!return\b|new\b|else\b|throw\b|await\b)(?:[\w.<>\[\],?]+\s+)(?P<name>{NAME})\s*(?:<[^>]*>)?\((?=[^;{{}}]*\)\s*(?:where\s[^{{;]+)?(?:=>|[{{;]))",
+    fn=rf"(?:^|(?<=[{{;}}]))[ \t]*(?:\[[^\]]*\]\s*)*{MOD}(?!return\b|new\b|else\b|throw\b|await\b)(?:[\w.<>\[\],?]+\s+)(?P<name>{NAME})\s*(?:<[^>]*>)?\((?=[^;{{}}]*\)\s*(?:where\s[^{{;]+)?(?:=>|[{{;]))",
 ))
 
 

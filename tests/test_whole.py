@@ -52,3 +52,30 @@ def test_no_node_gains_after_rounds(spark):
 def test_paths_have_no_longest_length(spark):
     e = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", "calls", "EXTRACTED", 1.0) for i in range(66)], "source string, target string, relation string, confidence string, weight double")
     assert len(traverse.shortest_path(e, "n000", "n066")) == 66
+
+
+def test_tiny_communities_merge_along_chains_of_any_length(spark):
+    n = 45  # beyond any small number of rounds
+    e = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", "calls", "EXTRACTED", 1.0) for i in range(n - 1)], "source string, target string, relation string, confidence string, weight double")
+    alone = spark.createDataFrame([(f"n{i:03}", i) for i in range(n)] + [("far", n)], "id string, community long")
+    made = {r["id"]: r["community"] for r in cluster.merge_tiny(alone, e).collect()}
+    sizes = {c: list(made.values()).count(c) for c in made.values()}
+    assert set(made) == {f"n{i:03}" for i in range(n)} | {"far"} and sizes[made["far"]] == 1
+    assert all(sizes[made[f"n{i:03}"]] >= 3 for i in range(n))
+
+
+def test_depth_first_is_the_plain_walk(spark):
+    import random
+
+    r = random.Random(4)
+    links = sorted({(f"n{r.randrange(30):02}", f"n{r.randrange(30):02}", "calls") for _ in range(60)})
+    e = spark.createDataFrame([(*x, "EXTRACTED", 1.0) for x in links], "source string, target string, relation string, confidence string, weight double")
+    met, stack = [], [("n03", 0)]
+    while stack:
+        node, depth = stack.pop()
+        if node in met or depth > 4:
+            continue
+        met.append(node)
+        far = [t for s, t, _ in links if s == node] + [s for s, t, _ in links if t == node]
+        stack += [(x, depth + 1) for x in far if x not in met]
+    assert traverse.depth_first(e, ["n03"])[0] == met
