@@ -32,7 +32,7 @@ from .runtime import checkpointed, table, typed
 #: Words in a shingle; MinHash bands and values in each: two sets of similarity 0.85 miss all bands with a probability of 7e-8 (0.8: 1.5e-5).
 WORDS, BANDS, ROWS = 5, 28, 5
 #: Bits of an odd sketch, and MinHash samples that it folds.
-BITS, SAMPLES = 1024, 1024
+BITS, SAMPLES = 2048, 4096
 #: Standard deviations that a pair may be off and still be looked at.
 SIGMAS = 5.0
 #: Members that one task compares with each other: rows of a block on either side.
@@ -113,17 +113,23 @@ def odd_sketches(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 def near_enough(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Whether the sketches a and b (uint64 words, last axis) allow a similarity of percent. na, nb: sizes of the sets.
 
-    At similarity t, the two sets have (na + nb) / (1 + t) hashes together.  A
-    range that holds any differs with probability 1 - t, by one sample where
-    the smallest hash is its only one, and by at most two otherwise.
+    At similarity t, the two sets have (na + nb) / (1 + t) hashes together, of
+    which a share of 1 - t is in one of them only.  A range whose smallest hash
+    is such a one differs by that sample, and by another if the other set has
+    any hash there.  So the samples that differ are bounded by the ranges in
+    use (large sets) and by the hashes in one set only (small ones); the lesser
+    bound counts, at any size.
     """
     t = percent / 100
     ones = np.bitwise_count(a ^ b).sum(-1).astype(np.int64)
-    load = (na + nb) / (1 + t) / SAMPLES  # hashes of both in a range
+    both = (na + nb) / (1 + t)
+    load = both / SAMPLES  # hashes of both in a range
     used = SAMPLES * -np.expm1(-load)  # ranges that have any
-    each = 2 - np.where(load < 500, load / np.expm1(np.clip(load, 1e-9, 500)), 0)  # most samples that differ where the smallest does
-    d = used * (1 - t) * each
-    d = d + SIGMAS * np.sqrt(np.maximum(used * (1 - t) * each**2, 1)) * np.sqrt(np.minimum(1, 1 - (1 - t) * used / np.maximum(na + nb, 1)))
+    more = -np.expm1(-load)  # whether a range has another hash
+    d = np.minimum(
+        used * (1 - t) * (1 + more) + SIGMAS * (1 + more) * np.sqrt(used * t * (1 - t)),
+        both * (1 - t) * (1 + more) + SIGMAS * np.sqrt(both * (1 - t) * more * (1 - more)),
+    )
     e = np.exp(-4 * d / BITS)
     most = BITS / 2 * (1 - np.sqrt(e)) + SIGMAS * np.sqrt(BITS / 4 * np.maximum(1 - e * (1 + 4 * d / BITS), 0)) + 1
     sizes = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
@@ -226,29 +232,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and pass the sketches, the star's own pairs left out.
+    """Pairs (a, b) of different components that share a bucket and pass the sketches.
 
     members: bucket, cls, comp, main (component of the bucket's centre), size
-    and rest (members of the bucket, and those outside main), n, sketch.
+    and rest (members of the bucket, and those outside main), n, sketch, bands.
+    A pair leaves only the smallest of the buckets it shares; if that is none
+    of these, it had two members, and its star has compared them.
     """
     outside = F.col("comp") != F.col("main")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / F.lit(BLOCK)).cast("int") - 1))
     place = lambda n: F.pmod(F.xxhash64("cls"), F.ceil(n / F.lit(BLOCK))).cast("int")
     left = members.where(outside).withColumn("p", place(F.col("rest"))).withColumn("q", spread(F.col("size"))).withColumn("side", F.lit(0))
     right = members.withColumn("p", spread(F.col("rest"))).withColumn("q", place(F.col("size"))).withColumn("side", F.lit(1))
-    columns = ["bucket", "p", "q", "side", "cls", "comp", "main", "n", "sketch"]
+    columns = ["bucket", "p", "q", "side", "cls", "comp", "main", "n", "sketch", "bands"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         side, cls, comp, main, n = (t.column(c).to_numpy() for c in ("side", "cls", "comp", "main", "n"))
         words = words_of(t.column("sketch"))
+        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        bucket = t.column("bucket")[0].as_py()
         us, vs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out = []
         for u in us.tolist():
             v = vs[(comp[vs] != comp[u]) & ((comp[vs] == main[u]) | (cls[vs] > cls[u]))]
             if len(v):
                 v = v[near_enough(words[v], words[u], n[v], n[u], percent)]
+                v = v[np.where(keys[v] == keys[u], keys[v], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max) == bucket]
                 out.append(np.stack([np.minimum(cls[v], cls[u]), np.maximum(cls[v], cls[u])]))
         a, b = np.concatenate(out, 1) if out else (np.zeros(0, np.int64),) * 2
         return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=schema)
@@ -276,7 +287,7 @@ def groups(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str =
     weight = members.groupBy("cls").agg(F.sum("size").alias("weight"))
     centres = members.join(weight, "cls").groupBy("bucket").agg(F.max(F.struct("weight", "cls"))["cls"].alias("centre"))
     stars = members.join(centres, "bucket").where("centre <> cls").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    light = classes.select("cls", "n", "sketch")
+    light = classes.select("cls", "n", "sketch", "bands")
     first = checkpointed(confirmed(checkpointed(sifted(stars, light, percent)), classes.select("cls", "doc_id"), docs, key, text, percent))
     # Documents of several texts join their classes.
     each = known.select("doc_id", "cls").distinct()
