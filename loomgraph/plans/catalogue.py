@@ -431,11 +431,6 @@ def strategy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return patterns.strategy_pairs(*_graph(spark, d))
 
 
-@query()
-def strategy_groups(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.strategy_groups(*_graph(spark, d)).withColumn("classes", F.array_join("classes", ","))
-
-
 @query("""SELECT n.id, n.label, n.file, CAST(count(*) AS BIGINT) AS case_count, string_agg(c.label, ',' ORDER BY c.label) AS cases FROM nodes n JOIN edges e ON e.source = n.id AND e.relation = 'case_of' JOIN nodes c ON c.id = e.target WHERE n.type = 'enum' GROUP BY n.id, n.label, n.file HAVING count(*) >= 3""", ("nodes", "edges"))
 def enums(spark: SparkSession, d: str) -> DataFrame:
     return analysis.enums(*_graph(spark, d)).withColumn("cases", F.array_join("cases", ","))
