@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,12 +111,20 @@ onresize = size; size();
 """
 
 
-def to_html(nodes: DataFrame, edges: DataFrame, membership: DataFrame, labels: DataFrame, path: str, most: int = 20_000) -> None:
-    """A page that shows the graph, coloured by community, with a legend by falling size and a search. More than most nodes are refused."""
-    n = [r.asDict() for r in nodes.join(membership, "id", "left").select("id", "label", "type", "file", F.coalesce("community", F.lit(0)).alias("community")).orderBy("id").limit(most + 1).collect()]
-    if len(n) > most:
-        raise ValueError(f"a page shows at most {most} nodes; write tables instead")
-    e = [r.asDict() for r in edges.select("source", "target", "relation").orderBy("source", "target").collect()]
-    sizes = membership.groupBy("community").agg(F.count(F.lit(1)).alias("n")).join(labels, "community").orderBy(F.desc("n"), "community").collect()
-    data = {"nodes": n, "links": e, "palette": fixed.PALETTE, "legend": [[r["community"], r["label"], r["n"]] for r in sizes]}
-    Path(path).write_text(PAGE.replace("__DATA__", json.dumps(data, ensure_ascii=False).replace("</", "<\\/")), encoding="utf-8")
+def to_html(nodes: DataFrame, edges: DataFrame, membership: DataFrame, labels: DataFrame, path: str) -> None:
+    """A page that shows the graph, coloured by community, with a legend by falling size and a search. Its rows are streamed into one local file."""
+    parts = {
+        "nodes": nodes.join(membership, "id", "left").select("id", "label", "type", "file", F.coalesce("community", F.lit(0)).alias("community")).orderBy("id"),
+        "links": edges.select("source", "target", "relation").orderBy("source", "target"),
+        "legend": membership.groupBy("community").agg(F.count(F.lit(1)).alias("n")).join(labels, "community").orderBy(F.desc("n"), "community").select("community", "label", "n"),
+    }
+    safe = lambda x: json.dumps(x, ensure_ascii=False).replace("</", "<\\/")
+    before, after = PAGE.split("__DATA__")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'{before}{{"palette": {safe(fixed.PALETTE)}')
+        for key, df in parts.items():
+            f.write(f', "{key}": [')
+            for i, r in enumerate(df.toLocalIterator()):
+                f.write((", " if i else "") + safe(list(r) if key == "legend" else r.asDict()))
+            f.write("]")
+        f.write("}" + after)

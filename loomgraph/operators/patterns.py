@@ -100,15 +100,47 @@ def strategy_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return free.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all"), percent.alias("percent"), ((F.col("shared") >= 3) & (percent >= 60)).alias("pass"))
 
 
+def _alike(faces: DataFrame) -> DataFrame:
+    """x, y, names: pairs of interfaces (k, names) that share three names or more and 60 percent of all theirs, and what they share.
+
+    An interface of n names that is alike another shares 3 n / 5 with it (and
+    three), so two such have a name in common among the rarest ones that are
+    left when all but one of these are put aside.  Only there do interfaces
+    meet; a name that very many have is hardly ever among them.
+    """
+    named = faces.select("k", F.size("names").alias("size"), F.explode("names").alias("name"))
+    seen = named.groupBy("name").agg(F.count(F.lit(1)).alias("seen"))
+    ordered = named.join(seen, "name").groupBy("k", "size").agg(F.array_sort(F.collect_list(F.struct("seen", "name"))).alias("names"))
+    rarest = F.slice("names", F.lit(1), F.expr("int(size - greatest(3, (3 * size + 4) div 5) + 1)"))
+    first = ordered.select("k", "size", F.explode(rarest).alias("one")).where("one.seen > 1").select("k", "size", F.col("one.name").alias("name"))
+    side = lambda end: first.select(F.col("k").alias(end), F.col("size").alias(f"n{end}"), "name")
+    met = side("x").join(side("y"), "name").where("x < y and 5 * least(nx, ny) >= 3 * greatest(nx, ny)").select("x", "y").distinct()
+    whole = lambda end: faces.select(F.col("k").alias(end), F.col("names").alias(f"{end}_names"))
+    both = met.join(whole("x"), "x").join(whole("y"), "y").withColumn("names", F.array_intersect("x_names", "y_names"))
+    return both.where("size(names) >= 3 and 5 * size(names) >= 3 * (size(x_names) + size(y_names) - size(names))").select("x", "y", "names")
+
+
 def strategy_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Exact shared sets of methods with three classes or more: names, classes (labels, sorted), size, file; largest first."""
-    sets = _interfaces(nodes, edges)
-    side = lambda end: sets.select(F.col("id").alias(end), F.col("names").alias(f"{end}_names"))
-    pairs = strategy_pairs(nodes, edges).where("pass").join(side("a"), "a").join(side("b"), "b")
-    names = F.array_join(F.array_sort(F.array_intersect("a_names", "b_names")), ",")
-    labels = nodes.select(F.col("id").alias("member"), "label", "file")
-    members = pairs.select(names.alias("names"), F.explode(F.array("a", "b")).alias("member")).distinct().join(labels, "member")
-    grouped = members.groupBy("names").agg(F.array_sort(F.collect_set("label")).alias("classes"), F.min_by("file", "member").alias("file"), F.min("member").alias("anchor_id"))
+    """Exact shared sets of methods with three classes or more: names, classes (labels, sorted), size, file; largest first.
+
+    The groups are those that the passing rows of strategy_pairs make, without
+    making these rows: classes with one interface are taken together, and a
+    class belongs to what its interface shares with another if that has a
+    class that no edge ties to it.
+    """
+    sets = cut_lineage(_interfaces(nodes, edges).where("size(names) >= 3"))
+    faces = cut_lineage(sets.groupBy("names").agg(F.count(F.lit(1)).alias("many")).withColumn("k", F.monotonically_increasing_id()))
+    members = cut_lineage(sets.join(faces, "names").select("id", "k"))
+    pairs = _alike(faces.select("k", "names"))
+    many = faces.select(F.col("k").alias("far"), "many")
+    links = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("k"), F.col("y").alias("far")), F.struct(F.col("y").alias("k"), F.col("x").alias("far")))).alias("e"), "names").select("e.*", "names").join(many, "far")
+    links = links.select("k", "far", "names", "many").unionByName(faces.where("many > 1").select("k", F.col("k").alias("far"), "names", (F.col("many") - 1).alias("many")))
+    near = g.neighbours(edges.join(members.select(F.col("id").alias("source")), "source", "left_semi").where("source <> target"))
+    ties = near.join(members, "id").select("other", F.col("k").alias("far")).join(members.select(F.col("id").alias("other")), "other", "left_semi")
+    ties = ties.groupBy(F.col("other").alias("id"), "far").agg(F.count(F.lit(1)).alias("tied"))
+    names = F.array_join(F.array_sort("names"), ",")
+    held = members.join(links, "k").join(ties, ["id", "far"], "left").where("coalesce(tied, 0) < many").select(names.alias("names"), F.col("id").alias("member")).distinct()
+    grouped = held.join(nodes.select(F.col("id").alias("member"), "label", "file"), "member").groupBy("names").agg(F.array_sort(F.collect_set("label")).alias("classes"), F.min_by("file", "member").alias("file"), F.min("member").alias("anchor_id"))
     return grouped.withColumn("size", F.size("classes").cast("long")).where("size >= 3").orderBy(F.desc("size"), "names")
 
 

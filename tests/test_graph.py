@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import analysis, cluster, graph, layers, patterns, traverse, validate
+from loomgraph.operators import analysis, cluster, export, graph, layers, patterns, traverse, validate
 
 NODE, EDGE = "id string, label string, type string, file string", "source string, target string, relation string, confidence string, weight double"
 
@@ -81,6 +81,58 @@ def test_strategy(spark):
     assert {(r["a"], r["b"]) for r in patterns.strategy_pairs(nodes(spark, ns), tied).collect()} == {("A", "C"), ("A", "D"), ("B", "C"), ("B", "D"), ("C", "D")}
 
 
+def test_strategy_groups_are_those_of_the_pairs(spark):
+    """Interfaces with copies, common and rare names, and ties between classes, against the passing pairs one by one."""
+    import random
+
+    some = random.Random(3)
+    base = [sorted(some.sample(range(12), some.randint(3, 7))) for _ in range(14)]
+    ns, es, own = [], [], {}
+    for i in range(70):
+        c = f"K{i}"
+        names = set(some.choice(base))
+        if i % 3 == 0:
+            names ^= {some.randrange(14)}
+        own[c] = {f"m{j}" for j in names}
+        ns.append((c, "class"))
+        for m in own[c]:
+            ns.append((f"{c}{m}", f".{m}()", "method", "src/a.py"))
+            es.append((c, f"{c}{m}", "method"))
+    for _ in range(150):
+        es.append((*some.sample(sorted(own), 2), some.choice(["calls", "inherits"])))
+    es = list({x[:2]: x for x in es}.values())
+    n, e = nodes(spark, ns), edges(spark, es)
+    expected = {}
+    for r in patterns.strategy_pairs(n, e).where("pass").collect():
+        expected.setdefault(",".join(sorted(own[r["a"]] & own[r["b"]])), set()).update((r["a"], r["b"]))
+    expected = {k: sorted(v) for k, v in expected.items() if len(v) >= 3}
+    assert len(expected) > 5 and {r["names"]: r["classes"] for r in patterns.strategy_groups(n, e).collect()} == expected
+
+
+def test_strategy_ties_within_one_interface(spark):
+    """A class tied to all others of its interface is in no group of it."""
+    ns, es = [], []
+    for c in "ABCD":
+        ns.append((c, "class"))
+        for m in ("draw", "move", "end"):
+            ns.append((f"{c}{m}", f".{m}()", "method", "src/a.py"))
+            es.append((c, f"{c}{m}", "method"))
+    tied = [*es, ("A", "B", "calls"), ("C", "A", "calls"), ("A", "D", "calls"), ("D", "A", "calls")]
+    assert [r["classes"] for r in patterns.strategy_groups(nodes(spark, ns), edges(spark, tied)).collect()] == [["B", "C", "D"]]
+
+
+def test_page_of_any_size(spark, tmp_path):
+    import json
+
+    n, e = auth(spark)
+    m = n.select("id", F.lit(0).cast("long").alias("community"))
+    n = n.unionAll(nodes(spark, [("s", "</script>", "class", "s.py")]))
+    export.to_html(n, e, m, m.select("community", F.lit("all").alias("label")).distinct(), str(tmp_path / "g.html"))
+    text = (tmp_path / "g.html").read_text()
+    data = json.loads(text.split("const G = ")[1].split(", C = document")[0])
+    assert [x["id"] for x in data["nodes"]] == ["n1", "n2", "n3", "n4", "n5", "s"] and len(data["links"]) == 3 and data["legend"] == [[0, "all", 5]] and text.count("</script>") == 1
+
+
 def test_external_types_and_gods(spark):
     n = nodes(spark, [("E", "class"), ("P", "class"), ("Q", "class"), ("q.py", "q.py", "file", "src/q.py"), ("mod", "mod", "module", "src/q.py")])
     e = edges(spark, [("P", "E", "inherits"), ("Q", "E", "inherits"), ("P", "Q", "calls"), ("q.py", "P", "contains"), ("q.py", "mod", "imports")])
