@@ -110,7 +110,8 @@ def relevance(nodes: DataFrame, ids: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def within_budget(lines: DataFrame, order: list, budget: int, used: int = 0) -> DataFrame:
-    """The first lines (column line) whose bytes, after used ones, stay within 4 a token."""
+    """The first lines (column line) whose bytes, after used ones, stay within 4 a token. Lines are not empty, so no more than there are bytes are added up."""
+    lines = lines.orderBy(*order).limit(max(4 * budget - used, 0))
     total = F.sum(F.octet_length("line")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return lines.withColumn("bytes", total + used).where(F.col("bytes") <= 4 * budget)
 

@@ -182,6 +182,24 @@ def test_louvain_and_split(spark):
     assert q > cluster.modularity(n.select("id", F.col("id").alias("community")), e).first()[0] and q > 0.4
 
 
+def test_numbers_go_on_across_ranges(spark):
+    """Numbers by falling size, then smallest id, without gaps, over many partitions; none for no rows."""
+    rows = [(f"n{i:03}", f"c{i % 37}" if i < 200 else f"s{i}") for i in range(300)]
+    m = spark.createDataFrame(rows, "id string, community string").repartition(7)
+    groups = {}
+    for i, c in rows:
+        groups.setdefault(c, []).append(i)
+    order = sorted(groups.values(), key=lambda ids: (-len(ids), min(ids)))
+    assert {r["id"]: r["community"] for r in cluster.numbered(m).collect()} == {i: k for k, ids in enumerate(order) for i in ids}
+    assert cluster.numbered(m.limit(0)).count() == 0
+
+
+def test_budget_takes_the_first_lines(spark):
+    lines = spark.createDataFrame([(i, "x" * (i % 3 + 1)) for i in range(50)], "i int, line string")
+    assert [r["i"] for r in traverse.within_budget(lines, ["i"], 3, 2).orderBy("i").collect()] == [0, 1, 2, 3, 4]
+    assert traverse.within_budget(lines, ["i"], 3, 40).count() == 0
+
+
 def test_large_components_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(cluster, "TASK_EDGES", 5)
     ns, es = cliques(6)
