@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .runtime import checkpointed, partitions, table, typed
 
-#: Chunks between white space that a worker keeps encoded; beyond that, the cache starts anew.
-CACHE_CHUNKS = 1_500_000
+#: Chunks between white space that a worker keeps encoded, and their bytes; beyond either, the cache starts anew.
+CACHE_CHUNKS, CACHE_BYTES = 800_000, 16 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -70,10 +70,11 @@ class Chunks:
         place = self._known(unique)
         new = np.flatnonzero(place < 0)
         if len(new):
-            if len(self.keys) + len(new) > CACHE_CHUNKS:
+            a, b = starts[sample[new]], ends[sample[new]]
+            if len(self.keys) + len(new) > CACHE_CHUNKS or len(self.text) + int((b - a).sum()) > CACHE_BYTES:
                 self._forget()
                 new = np.arange(len(unique))
-            a, b = starts[sample[new]], ends[sample[new]]
+                a, b = starts[sample], ends[sample]
             ids, counts = self._made(data, a, b)
             first, from_ = np.cumsum(counts) - counts + len(self.ids), np.cumsum(b - a) - (b - a) + len(self.text)
             self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, tv.gather(data, a, b - a)])

@@ -117,6 +117,17 @@ def test_cache_starts_anew(monkeypatch, theirs):
         assert e.batch(data, np.array([0, len(data)]))[0].tolist() == theirs.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("bound", ["CACHE_CHUNKS", "CACHE_BYTES"])
+def test_chunks_start_anew(monkeypatch, bound):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, bound, 5)
+    c, library = packing.Chunks(WORDS), Tokenizer.from_file(WORDS)
+    for t in ("a b c d e f g", "h i j a b", "k", "", "longer than five", "a b h i"):
+        data = np.frombuffer(t.encode(), np.uint8)
+        assert c.batch(data, np.array([0, len(data)]))[0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 TURN = st.tuples(st.sampled_from(["user", "assistant", "system", "we|ird\n\\"]), st.text(max_size=20) | st.sampled_from(["<|im_end|>", "<|im_end|><|im_start|>assistant ok", "\\", "<\\|", "<", "<|", "\n", "A", "B", "|im_end|>"]))
 
 
