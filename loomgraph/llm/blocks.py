@@ -19,13 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .runtime import partitions
+from .runtime import checkpointed, partitions
 
 
 #: Labels up to which blocks and slices spread evenly over the shuffle's partitions; among more of them chance does as well.
 EVEN = 16_384
 #: Bytes of text of a block of documents, and those whose keys fall into one slice, on average.
 BLOCK, SLICE = 8 << 20, 12 << 20
+#: Bytes of rows with one id and text (and ROW more a row) from which on they are spread over all blocks.
+REPEATS, ROW = 4 << 20, 64
+#: Ids of such rows that are broadcast, 8 bytes each; more of them are joined by a shuffle.
+SENT = 1_000_000
 
 
 def size_of(docs: DataFrame, text: str) -> int:
@@ -65,12 +69,24 @@ def places(names: np.ndarray, column: pa.ChunkedArray) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, key: str, text: str, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """block, doc_id, text and the columns keep; rows are dealt by a hash of id and text, so only rows that repeat in full meet."""
+    """block, doc_id, text and the columns keep; rows are dealt by a hash of id and text.
+
+    Rows that repeat in full meet in one block, unless they are too many for
+    one: then each goes its own way.  Where to is written to the checkpoint
+    folder, so that every pass, and one repeated after a loss, sees the same.
+    """
     names = blocks(docs, size)
-    number = F.pmod(F.xxhash64(docs[key], docs[text]), F.lit(len(names))).cast("int")
-    block = F.element_at(F.array(*[F.lit(int(x)) for x in names]), number + 1) if len(names) <= EVEN else number
     others = [docs[c].alias(f"keep_{c}") for c in keep]
-    return docs.select(block.alias("block"), docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), *others)
+    rows = docs.select(F.xxhash64(docs[key], docs[text]).alias("row"), docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), *others)
+    hot = checkpointed(rows.groupBy("row").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW).alias("bytes")).where(F.col("bytes") > REPEATS).select("row"))
+    n = hot.count()
+    if n:
+        hot = F.broadcast(hot) if n <= SENT else hot
+        apart = F.xxhash64("row", F.monotonically_increasing_id())
+        rows = rows.join(hot, "row", "left_anti").unionByName(checkpointed(rows.join(hot, "row", "left_semi").withColumn("row", apart)))
+    number = F.pmod(F.col("row"), F.lit(len(names))).cast("int")
+    block = F.element_at(F.array(*[F.lit(int(x)) for x in names]), number + 1) if len(names) <= EVEN else number
+    return rows.withColumn("row", block).withColumnRenamed("row", "block")
 
 
 def hashed(t: pa.Table, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from loomgraph.llm import ann, knn, langid, neardup, scoring, substrings  # noqa: E402
+from loomgraph.llm import ann, blocks, knn, langid, neardup, scoring, substrings  # noqa: E402
 from loomgraph.llm import textvec as tv  # noqa: E402
 
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -312,6 +312,20 @@ def test_scores_depend_on_the_tables_only(spark, docs, monkeypatch):
     assert len(seen) == 1
 
 
+def test_rows_that_repeat_in_full_are_spread(spark, docs, monkeypatch):
+    many = docs.unionByName(docs.where("doc_id in (500, 20)").crossJoin(spark.range(60)).drop("id"))
+    whole = {f.__name__: Counter(map(tuple, f(many).collect())) for f in (substrings.marked, scoring.scored)}
+    assert blocks.dealt(many, "doc_id", "text", 1).where("doc_id = 500").select("block").distinct().count() == 1
+    for sent in (1, blocks.SENT):
+        monkeypatch.setattr(blocks, "REPEATS", 9000)
+        monkeypatch.setattr(blocks, "SENT", sent)
+        apart = blocks.dealt(many, "doc_id", "text", 1, keep=("block",))
+        assert apart.where("doc_id = 500").count() == 61 and apart.where("doc_id = 500").select("block").distinct().count() > 8
+        assert apart.where("doc_id = 9").select("block").distinct().count() == 1 and apart.count() == many.count()
+        for f in (substrings.marked, scoring.scored):
+            assert Counter(map(tuple, f(many).collect())) == whole[f.__name__]
+
+
 def test_filter_never_understates():
     r = np.random.default_rng(1)
     keys, counts = np.unique(r.integers(0, 1 << 63, 5000, dtype=np.uint64)), r.geometric(0.3, 5000)
