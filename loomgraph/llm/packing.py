@@ -26,7 +26,7 @@ from . import textvec as tv
 from .runtime import checkpointed, partitions, table, typed
 
 #: Chunks between white space that a worker keeps encoded, and their bytes; beyond either, the cache starts anew.
-CACHE_CHUNKS, CACHE_BYTES = 800_000, 16 << 20
+CACHE_CHUNKS, CACHE_BYTES = 1_500_000, 32 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
