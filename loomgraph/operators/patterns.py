@@ -9,13 +9,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
-from ..session import cut_lineage
+from ..session import cut_lineage, tidy
 from . import graph as g
 
+#: Classes of a block of strategy_pairs; names that a block's table holds at once.
+BLOCK_CLASSES = 1000
+BLOCK_NAMES = 4096
+
 COLUMNS = ("name", "anchor_id", "anchor_node", "anchor_file", "evidence", "participants")
 
 
@@ -81,23 +88,64 @@ def _interfaces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("name")).alias("names")).where("n >= 3").select("id", "names")
 
 
+def _block_pairs(table: pa.Table) -> pa.Table:
+    """Rows of strategy_pairs between the classes of two blocks (or of one), by products of their tables of names; ties are rows with an other id."""
+    bx, by = table.column("bx")[0].as_py(), table.column("by")[0].as_py()
+    other = table.column("other")
+    ties = table.filter(pc.is_valid(other))
+    rows = table.filter(pc.is_null(other)).sort_by("id").combine_chunks()
+    block = rows.column("block").to_numpy()
+    lists = rows.column("codes").combine_chunks()
+    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    codes, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+    x, y = np.flatnonzero(block == bx), np.flatnonzero(block == by)
+    mine = lambda who: np.isin(owner, who)
+    common = np.intersect1d(codes[mine(x)], codes[mine(y)])
+    at = np.searchsorted(common, codes)
+    known = (at < len(common)) & (common[np.minimum(at, len(common) - 1)] == codes) if len(common) else np.zeros(len(codes), dtype=bool)
+    shared = np.zeros((len(x), len(y)), dtype=np.int64)
+    for lo in range(0, len(common), BLOCK_NAMES):
+        cut = known & (at >= lo) & (at < lo + BLOCK_NAMES)
+        has = np.zeros((len(size), min(BLOCK_NAMES, len(common) - lo)), dtype=np.float32)
+        has[owner[cut], at[cut] - lo] = 1
+        shared += (has[x] @ has[y].T).astype(np.int64)
+    if bx == by:
+        shared = np.triu(shared, 1)
+    ids = rows.column("id").combine_chunks()
+    place = lambda column: pc.index_in(column, ids).to_numpy(zero_copy_only=False)
+    if ties.num_rows:
+        one, two = place(ties.column("id")), place(ties.column("other"))
+        for p, q in ((one, two), (two, one)):
+            ok = np.isin(p, x) & np.isin(q, y)
+            shared[np.searchsorted(x, p[ok]), np.searchsorted(y, q[ok])] = 0
+    i, j = np.nonzero(shared)
+    n = shared[i, j]
+    i, j = x[i], y[j]
+    whole = size[i] + size[j] - n
+    percent = n * 100 // whole
+    return pa.table([ids.take(pa.array(np.minimum(i, j))), ids.take(pa.array(np.maximum(i, j))), n, whole, percent, (n >= 3) & (percent >= 60)], names=["a", "b", "shared", "all", "percent", "pass"])
+
+
 def strategy_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs of classes that share a method: a, b, shared, all, percent, pass.
 
-    Classes have three methods or more and no edge between them.  Pairs meet by
-    a method's name, so classes with nothing in common never do; they are
-    counted under numbers instead of ids, and no names travel along.
+    Classes have three methods or more and no edge between them.  They are
+    dealt to blocks, and any two blocks are compared in one task, so no row is
+    made for a name that two classes share, only for the pairs themselves.
     """
-    sets = cut_lineage(_interfaces(nodes, edges).withColumn("k", F.monotonically_increasing_id()))
-    named = sets.select("k", F.size("names").alias("size"), F.explode("names").alias("name"))
-    left, right = named.select(F.col("k").alias("x"), "name"), named.select(F.col("k").alias("y"), "name")
-    both = left.join(right, "name").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"))
-    side = lambda end, n: sets.select(F.col("k").alias(end), F.col("id").alias(f"{end}_id"), F.size("names").alias(n))
-    ids = both.join(side("x", "na"), "x").join(side("y", "nb"), "y").select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), "na", "nb", "shared")
-    tied = edges.join(sets.select(F.col("id").alias("source")), "source", "left_semi").join(sets.select(F.col("id").alias("target")), "target", "left_semi")
-    free = ids.join(tied.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")), ["a", "b"], "left_anti")
-    percent = F.expr("shared * 100 div (na + nb - shared)")
-    return free.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all"), percent.alias("percent"), ((F.col("shared") >= 3) & (percent >= 60)).alias("pass"))
+    sets = cut_lineage(_interfaces(nodes, edges))
+    tidy(sets.sparkSession)
+    blocks = sets.count() // BLOCK_CLASSES + 1
+    block = lambda id: F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int")
+    named = sets.select("id", F.explode("names").alias("name"))
+    numbers = cut_lineage(named.select("name").distinct().withColumn("code", F.monotonically_increasing_id()))
+    coded = cut_lineage(named.join(numbers, "name").groupBy("id").agg(F.collect_list("code").alias("codes")).withColumn("block", block("id")))
+    far = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("far")
+    dealt = coded.select(F.lit(None).cast("string").alias("other"), "id", "block", "codes", far)
+    tied = edges.join(sets.select(F.col("id").alias("source")), "source", "left_semi").join(sets.select(F.col("id").alias("target")), "target", "left_semi").where("source <> target")
+    ties = tied.select(F.col("target").alias("other"), F.col("source").alias("id"), block("source").alias("block"), F.lit(None).cast("array<bigint>").alias("codes"), block("target").alias("far"))
+    rows = dealt.unionByName(ties).select("other", "id", "block", "codes", F.least("block", "far").alias("bx"), F.greatest("block", "far").alias("by"))
+    return rows.repartition(max(1, blocks * (blocks + 1) // 2), "bx", "by").groupBy("bx", "by").applyInArrow(_block_pairs, "a string, b string, shared long, all long, percent long, pass boolean")
 
 
 def _alike(faces: DataFrame) -> DataFrame:
