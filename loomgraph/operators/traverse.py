@@ -5,11 +5,12 @@ from __future__ import annotations
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, fixed
-from ..session import cut_lineage
+from ..session import cut_lineage, discard, stored
 from . import graph as g
 
 #: Links that the depth-first walk collects at once.
@@ -103,6 +104,78 @@ def depth_first(edges: DataFrame, start: list[str], depth: int = 4) -> tuple[lis
     return [names[i] for i in order], [(names[cols[0][i]], names[cols[1][i]], words[cols[2][i]], words[cols[3][i]]) for i in took]
 
 
+def _walked(start: list[int], depth: int):
+    """Rows (place, number) of nodes, in the order of their ids, and (source, target) of links as numbers, to the numbers a walk meets, in one task."""
+
+    def run(batches):
+        kinds: tuple[list, list] = ([], [])
+        for batch in batches:
+            link, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for kind, held in zip((False, True), kinds):
+                if (link == kind).any():
+                    held.append((x[link == kind], y[link == kind]))
+        if not kinds[0]:
+            return
+        place, number = (np.concatenate(c) for c in zip(*kinds[0]))
+        number = number[np.argsort(place)]
+        by = np.argsort(number)
+        known = number[by]
+        rank = lambda v: by[np.searchsorted(known, v)].astype(np.int32)
+        ends = [np.concatenate([rank(pair[i]) for pair in kinds[1]]) if kinds[1] else np.zeros(0, np.int32) for i in (0, 1)]
+        kinds[1].clear()
+        at, far = [], []
+        for a, b in (ends, ends[::-1]):
+            key = a.astype(np.int64) << 32 | b
+            key.sort()
+            at.append(np.searchsorted(key, np.arange(len(number) + 1, dtype=np.int64) << 32))
+            far.append((key & 0xFFFFFFFF).astype(np.int32))
+            del key
+        met = np.zeros(len(number), dtype=bool)
+        order: list[int] = []
+        stack = [rank(np.array(start[::-1], dtype=np.int64)).tolist()]  # of each depth, what is left
+        while stack:
+            if not stack[-1]:
+                stack.pop()
+                continue
+            node = stack[-1].pop()
+            if met[node]:
+                continue
+            met[node] = True
+            order.append(node)
+            if len(stack) <= depth:
+                near = np.concatenate([f[t[node] : t[node + 1]] for f, t in zip(far, at)])
+                stack.append(near[~met[near]].tolist())
+        for i in range(0, len(order), 100_000):
+            some = order[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(range(i, i + len(some)), pa.int32()), pa.array(number[some])], ["position", "n"])
+
+    return run
+
+
+def walk(links: DataFrame, start: list[str], depth: int = 4) -> DataFrame:
+    """position, id: nodes in the order a depth-first walk over links (source, target; repeated or not) meets them, as depth_first does.
+
+    The order of a stack is sequential, so one task walks, over the links as
+    numbers; the driver gets none.
+    """
+    spark = links.sparkSession
+    if not start:
+        return spark.createDataFrame([], "position int, id string")
+    ends = links.select(F.explode(F.array("source", "target")).alias("id")).unionAll(spark.createDataFrame([(s,) for s in start], "id string"))
+    for turn in count():
+        number = lambda id: F.xxhash64(F.lit(turn), id)  # noqa: B023, E731
+        ids = stored(ends.distinct().orderBy("id").select("id", number(F.col("id")).alias("n"), F.monotonically_increasing_id().alias("place")))
+        if ids.select("n").distinct().count() == ids.count():
+            break
+        discard(ids)  # two ids of one number
+    first = {r["id"]: r["n"] for r in ids.where(F.col("id").isin(start)).collect()}
+    rows = ids.select(F.lit(False).alias("link"), F.col("place").alias("x"), F.col("n").alias("y")).unionAll(links.select(F.lit(True), number(F.col("source")), number(F.col("target"))))
+    met = stored(rows.coalesce(1).mapInArrow(_walked([first[s] for s in start], depth), "position int, n long"))
+    out = stored(met.join(ids, "n").select("position", "id"))
+    discard(ids, met)
+    return out
+
+
 def relevance(nodes: DataFrame, ids: DataFrame, terms: list[str]) -> DataFrame:
     """Nodes among ids, most relevant first: id, label, type, file, score."""
     own = nodes.join(ids.select("id").distinct(), "id", "left_semi")
